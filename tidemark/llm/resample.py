@@ -1,6 +1,8 @@
 """Quality by importance resampling.
 
-Words and word pairs are hashed to ``BUCKETS`` buckets. Two bag models, smoothed
+Tokens (runs of letters, digits and non-ASCII bytes, and runs of other visible
+characters; case counts) and pairs of neighbouring tokens are hashed to ``BUCKETS``
+buckets. Two bag models, smoothed
 bucket shares of the target text (labelled good) and of all raw text, give each
 document the log weight sum(count * log(target / raw)). Documents are drawn
 without replacement, in proportion to their weights, by Gumbel top-k: the k
@@ -25,19 +27,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import settle
-from tidemark.llm.textbytes import blocks_of, mix64, span_hashes, word_bounds
+from tidemark.llm.textbytes import blocks_of, mix64, span_hashes
 
 BUCKETS = 10_000
 #: Nats of mean weight per n-gram that count as one nat of a key.
 TEMPERATURE = 0.02
-FRACTION = 0.5
+FRACTION = 0.75
 SEED = 7
 
+_KIND = np.full(256, 2, np.uint8)
+_KIND[:0x21] = _KIND[0x7F] = 0
+_KIND[0x30:0x3A] = _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+_KIND[0x80:] = 1
+
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of all words and pairs of neighbouring words of a row."""
-    low, starts, ends, rows = word_bounds(data, offsets)
-    h = span_hashes(low, starts, ends)
+    """(bucket, row) of all tokens and pairs of neighbouring tokens of a row."""
+    kind = _KIND[data]
+    change = np.ones(len(data) + 1, bool)
+    change[1:-1] = kind[1:] != kind[:-1]
+    change[offsets] = True
+    points = np.flatnonzero(change)
+    starts, ends = points[:-1], points[1:]
+    seen = kind[starts] > 0
+    starts, ends = starts[seen], ends[seen]
+    rows = np.searchsorted(starts, offsets)
+    h = span_hashes(data, starts, ends)
     row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     same = row[1:] == row[:-1]
     pairs = mix64(h[:-1] * np.uint64(3) + h[1:])[same]
