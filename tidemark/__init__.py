@@ -1,0 +1 @@
+"""A Spark-native engine for change logs: from row events to current documents."""
