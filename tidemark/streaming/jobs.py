@@ -33,13 +33,14 @@ class SyncJob:
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch: good events to the index, bad ones to the dead letters. Both writes are safe to repeat."""
-        checked = batch.withColumn("__error", self.error(batch) if self.error else F.lit(None).cast("string"))
+        checked = batch.withColumn("__error", self.error(batch) if self.error else F.lit(None).cast("string")).persist()
         self.store.write(checked.filter("__error is null").drop("__error"))
         bad = checked.filter("__error is not null")
         now = F.current_timestamp()
         items = bad.select(F.sha2(dead_letters.dedupe_key(F.lit(self.job_id), F.col("pk"), F.col("position")), 256).alias("item_id"), F.lit(self.job_id).alias("job_id"), "op", "pk", "position", "seq", "table", "data", F.lit("transform").alias("error_type"), F.col("__error").alias("error_msg"), F.lit(0).alias("retry_count"), F.lit(self.max_retries).alias("max_retries"), now.alias("first_failed"), F.lit(None).cast("timestamp").alias("last_retried"), F.lit("pending").alias("status"))
         new = dead_letters.add_failures(self.letters(), items)
         new.write.mode("overwrite").parquet(f"{self.dead_letter_path}/batch={batch_id}")
+        checked.unpersist()
 
     def letters(self) -> DataFrame:
         """All dead letters so far."""
