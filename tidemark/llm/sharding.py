@@ -7,8 +7,8 @@ dimension (language, source, size), at the weighted median that gives either
 side the bytes of its share of the shards, until every leaf is one shard.
 Atoms that agree in that dimension are ordered by a hash of the text, so ties
 never unbalance a cut. A cut is found from two sums, over 4096 cells of the
-dimension and then over 4096 cells of the hash inside one; a level of the
-tree is three passes over the atoms, and what reaches the driver is a row a node.
+dimension and then over 4096 cells of the hash inside one; a level of the tree
+is two passes over the atoms, and what reaches the driver is a few rows a node.
 
 Law ``bytes``: shard sizes are near equal, as far as one text's copies, which
 stay together, let them be. ``slot`` numbers the rows of a shard from 0 without
@@ -20,6 +20,8 @@ An empty table gives no rows. Columns besides the named ones are not read.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,98 +35,108 @@ DIMENSIONS = ("lang", "source", "size")
 SLOT_ROWS = 20_000
 
 
+def _cell(value: Column) -> Column:
+    """A cell of [1, CELLS) for a text, 0 for null."""
+    return F.coalesce(F.pmod(F.crc32(value.cast("binary")), F.lit(CELLS - 1)) + 1, F.lit(0)).cast("int")
+
+
 def _atoms(rows: DataFrame) -> DataFrame:
-    """One row for each distinct text: its bytes with all copies, hash cell and coordinates in [0, CELLS)."""
-    atoms = rows.groupBy("text_key").agg(F.sum("size").alias("weight"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.max("size").alias("size"))
-    cell = lambda c: F.coalesce(F.pmod(F.crc32(F.col(c).cast("binary")), F.lit(CELLS - 1)) + 1, F.lit(0)).cast("int")
-    # sizes on a logarithmic scale: 1/128 of a doubling a cell
+    """One row for each distinct text: its bytes with all copies, coordinates in [0, CELLS), and a hash cell that orders equal ones."""
+    # sizes on a logarithmic scale: 128 cells a doubling
     size = F.least(F.lit(CELLS - 1), F.floor(F.log2(F.col("size").cast("double")) * 128)).cast("int")
     tie = F.shiftrightunsigned(F.xxhash64("text_key"), 52).cast("int")
-    return atoms.select("text_key", "weight", tie.alias("tie"), cell("lang").alias("x_lang"), cell("source").alias("x_source"), size.alias("x_size"))
+    return rows.groupBy("text_key").agg(F.sum("size").alias("weight"), F.min("x_lang").alias("x_lang"), F.min("x_source").alias("x_source"), F.max("size").alias("size")).select("text_key", "weight", "x_lang", "x_source", size.alias("x_size"), tie.alias("tie"))
+
+
+@dataclass
+class Node:
+    """A part of the tree: its first shard, its shards, and its cut once it is split."""
+
+    first: int
+    shards: int
+    dimension: str | None = None
+    cell: int = 0
+    tie: int = 0
+    low: Node | None = None
+    high: Node | None = None
 
+    def leaves(self) -> list[Node]:
+        return [self] if self.low is None else [*self.low.leaves(), *self.high.leaves()]
 
-def _first_reaching(cells: DataFrame, by: list[str], cell: str, want: Column, start: Column) -> DataFrame:
-    """For each node the first cell at which the running sum from ``start`` reaches ``want``, with the sum before it and its own."""
+    def place(self) -> Column:
+        """The first shard of the leaf that an atom falls in."""
+        if self.low is None:
+            return F.lit(self.first)
+        x = F.col(f"x_{self.dimension}")
+        return F.when((x > self.cell) | ((x == self.cell) & (F.col("tie") >= self.tie)), self.high.place()).otherwise(self.low.place())
+
+
+def _by_node(values: dict[int, object], kind: str) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("node")).cast(kind)
+
+
+def _crossing(sums: DataFrame, by: list[str], cell: str, want: Column, start: Column) -> DataFrame:
+    """For each group of ``sums`` (w by cell) the first cell at which the running sum from ``start`` reaches ``want``."""
     w = Window.partitionBy(*by).orderBy(cell)
-    run = cells.withColumn("before", start + F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("is_last", F.lead(cell).over(w).isNull())
-    return run.filter((F.col("before") + F.col("w") >= want) | F.col("is_last")).groupBy(*by).agg(F.min_by(F.struct(cell, "before", "w"), F.col(cell)).alias("hit"))
-
-
-def _choose(pairs: list[tuple[int, object]], name: str, kind: str) -> Column:
-    """A column that maps ``node`` to a value for the nodes given."""
-    items = [x for node, value in pairs for x in (F.lit(node), F.lit(value))]
-    return F.element_at(F.create_map(*items), F.col("node")).cast(kind).alias(name)
-
-
-def _level(atoms: DataFrame, nodes: dict[int, tuple[int, int]], spread: dict[str, int]) -> dict[int, tuple[str, int, int, int, int]]:
-    """For each node (its first shard, shards): the dimension, cell, hash cell of its cut, and the shards of its left side."""
-    live = [n for n, (_, k) in nodes.items() if k > 1]
-    here = atoms.filter(F.col("node").isin(live))
-    widest = {}
-    totals = {}
-    for r in here.groupBy("node").agg(F.sum("weight").alias("w"), *[(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(d) for d in DIMENSIONS]).collect():
-        widest[r["node"]] = max(DIMENSIONS, key=lambda d: (r[d] / max(1, spread[d]), -DIMENSIONS.index(d)))
-        totals[r["node"]] = r["w"]
-    live = [n for n in live if n in totals]
-    if not live:
-        return {}
-    want = _choose([(n, float(totals[n]) * (nodes[n][1] // 2) / nodes[n][1]) for n in live], "want", "double")
-    along = F.element_at(F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(f"x_{d}"))]), _choose([(n, widest[n]) for n in live], "d", "string"))
-    placed = here.withColumn("x", along)
-    coarse = placed.groupBy("node", "x").agg(F.sum("weight").alias("w")).withColumn("want", want)
-    first = {r["node"]: r["hit"] for r in _first_reaching(coarse, ["node"], "x", F.col("want"), F.lit(0)).collect()}
-    inside = placed.filter(F.col("x") == _choose([(n, first[n]["x"]) for n in live], "x0", "int")).groupBy("node", "tie").agg(F.sum("weight").alias("w"))
-    inside = inside.withColumn("want", want).withColumn("start", _choose([(n, int(first[n]["before"])) for n in live], "start", "long"))
-    second = {r["node"]: r["hit"] for r in _first_reaching(inside, ["node"], "tie", F.col("want"), F.col("start")).collect()}
-    cuts = {}
-    for n in live:
-        k = nodes[n][1]
-        hit, goal = second[n], totals[n] * (k // 2) / k
-        # atoms below the cut go left: with or without the hash cell that crosses the goal, whichever is nearer
-        over = abs(hit["before"] + hit["w"] - goal) < abs(hit["before"] - goal)
-        cuts[n] = (widest[n], int(first[n]["x"]), int(hit["tie"]) + int(over), k // 2)
-    return cuts
+    run = sums.withColumn("before", start + F.sum("w").over(w) - F.col("w")).withColumn("is_last", F.lead(cell).over(w).isNull())
+    reached = run.filter((F.col("before") + F.col("w") >= want) | F.col("is_last"))
+    return reached.groupBy(*by).agg(F.min_by(F.struct(F.col(cell).alias("cell"), "before", "w"), F.col(cell)).alias("hit"))
+
+
+def _split(atoms: DataFrame, tree: Node, spread: dict[str, int]) -> bool:
+    """Split every leaf of more than one shard; False if there was none that holds atoms."""
+    open_ = {n.first: n for n in tree.leaves() if n.shards > 1}
+    if not open_:
+        return False
+    share = {k: (n.shards // 2) / n.shards for k, n in open_.items()}
+    here = atoms.withColumn("node", tree.place()).filter(F.col("node").isin(list(open_)))
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"x_{d}").alias("x")) for d in DIMENSIONS]))
+    sums = here.select("node", "weight", sides.alias("s")).groupBy("node", "s.d", "s.x").agg(F.sum("weight").alias("w"))
+    whole = Window.partitionBy("node", "d")
+    sums = sums.withColumns({"total": F.sum("w").over(whole), "width": F.max("x").over(whole) - F.min("x").over(whole)})
+    hits = _crossing(sums, ["node", "d", "total", "width"], "x", F.col("total") * _by_node(share, "double"), F.lit(0)).collect()
+    best = {}
+    for r in hits:
+        rank = (r["width"] / max(1, spread[r["d"]]), -DIMENSIONS.index(r["d"]))
+        if r["node"] not in best or rank > best[r["node"]][0]:
+            best[r["node"]] = (rank, r)
+    if not best:
+        return False
+    chosen = {k: r for k, (_, r) in best.items()}
+    goal = {k: float(r["total"]) * share[k] for k, r in chosen.items()}
+    along = F.element_at(F.create_map(*[x for d in DIMENSIONS for x in (F.lit(d), F.col(f"x_{d}"))]), _by_node({k: r["d"] for k, r in chosen.items()}, "string"))
+    ties = here.filter(along == _by_node({k: r["hit"]["cell"] for k, r in chosen.items()}, "int")).groupBy("node", "tie").agg(F.sum("weight").alias("w"))
+    for r in _crossing(ties, ["node"], "tie", _by_node(goal, "double"), _by_node({k: int(r["hit"]["before"]) for k, r in chosen.items()}, "long")).collect():
+        n, hit = open_[r["node"]], r["hit"]
+        # the hash cell that crosses the goal goes to the side that comes nearer to it so
+        over = abs(hit["before"] + hit["w"] - goal[r["node"]]) < abs(hit["before"] - goal[r["node"]])
+        n.dimension, n.cell, n.tie = chosen[r["node"]]["d"], int(chosen[r["node"]]["hit"]["cell"]), int(hit["cell"]) + int(over)
+        n.low, n.high = Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)
+    return True
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_column: str = "doc_id", lang: str = "lang", source: str = "source", row_bytes: int = ROW_BYTES) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
     body = F.col(text)
-    rows = docs.select(F.col(id_column).alias("doc_id"), (F.coalesce(F.octet_length(body), F.lit(0)) + row_bytes).cast("long").alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.struct(F.xxhash64(body).alias("h"), F.crc32(body.cast("binary")).alias("c"), F.octet_length(body).alias("n")).alias("text_key"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
-    rows = rows.withColumn("text_key", F.xxhash64("text_key.h", "text_key.c", "text_key.n"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), (F.coalesce(F.octet_length(body), F.lit(0)) + row_bytes).cast("long").alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.xxhash64(body), F.octet_length(body), F.crc32(body.cast("binary"))).alias("text_key"), _cell(F.col(lang).cast("string")).alias("x_lang"), _cell(F.col(source).cast("string")).alias("x_source"))
     atoms = settle(_atoms(rows))
-    total = atoms.agg(F.sum("weight")).first()[0]
-    if total is None:
+    facts = atoms.agg(F.sum("weight").alias("total"), *[(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(d) for d in DIMENSIONS]).first()
+    if facts["total"] is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    # texts that fill a shard alone, heaviest first; fewer than `shards`, as each holds that share of what is left
-    heavy = [(r["text_key"], r["weight"]) for r in atoms.orderBy(F.desc("weight"), "text_key").limit(shards - 1).collect()]
+    # texts that fill a shard alone, heaviest first: fewer than the shards, as each holds that share of what is left
     alone: dict[int, int] = {}
-    rest = total
-    for key, weight in heavy:
-        if weight * (shards - len(alone)) < rest:
-            break
-        alone[key] = len(alone)
-        rest -= weight
-    spread_row = atoms.agg(*[(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(d) for d in DIMENSIONS]).first()
-    spread = {d: spread_row[d] for d in DIMENSIONS}
-    nodes = {len(alone): (len(alone), shards - len(alone))}
-    own = F.element_at(F.create_map(*[x for k, v in alone.items() for x in (F.lit(k), F.lit(v))]), F.col("text_key")) if alone else F.lit(None).cast("int")
-    placed = atoms.withColumn("node", F.coalesce(own, F.lit(len(alone))))
-    while any(k > 1 for _, k in nodes.values()):
-        cuts = _level(placed, nodes, spread)
-        if not cuts:
+    rest = facts["total"]
+    for r in atoms.orderBy(F.desc("weight"), "text_key").limit(shards - 1).collect():
+        if r["weight"] * (shards - len(alone)) < rest:
             break
-        conditions = None
-        grown = {n: v for n, v in nodes.items() if n not in cuts}
-        for n, (d, x, tie, left) in cuts.items():
-            first, k = nodes[n]
-            grown[first], grown[first + left] = (first, left), (first + left, k - left)
-            right = (F.col("node") == n) & ((F.col(f"x_{d}") > x) | ((F.col(f"x_{d}") == x) & (F.col("tie") >= tie)))
-            conditions = F.when(right, first + left) if conditions is None else conditions.when(right, first + left)
-        placed = placed.withColumn("node", conditions.otherwise(F.col("node")))
-        nodes = grown
-        if len(nodes) < shards:
-            placed = settle(placed)
-    shard_of = placed.select("text_key", F.col("node").alias("shard"))
+        alone[r["text_key"]] = len(alone)
+        rest -= r["weight"]
+    light = atoms.filter(~F.col("text_key").isin(list(alone))) if alone else atoms
+    tree = Node(len(alone), shards - len(alone))
+    while _split(light, tree, {d: facts[d] for d in DIMENSIONS}):
+        pass
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in alone.items() for x in kv]), F.col("text_key")) if alone else F.lit(None).cast("int")
+    shard_of = atoms.select("text_key", F.coalesce(own, tree.place()).alias("shard"))
     found = rows.select("doc_id", "size", "text_crc32", "text_key").join(shard_of, "text_key").select("doc_id", "size", "text_crc32", "shard")
     return with_slots(found, shards)
 
