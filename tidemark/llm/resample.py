@@ -7,7 +7,8 @@ bucket shares of the target text (labelled good) and of all raw text, give each
 document the log weight sum(count * log(target / raw)). Documents are drawn
 without replacement, in proportion to their weights, by Gumbel top-k: the k
 greatest of log weight / temperature + Gumbel noise, the noise from a hash of
-the id. The counts cover whole tables; what the driver gets is 2 * BUCKETS
+the id. The target model is fitted on at most ``MAX_TARGET`` labelled documents, the
+raw one on all; what the driver gets is 2 * BUCKETS
 numbers, whatever the input.
 
 The weight is taken per n-gram (``temperature`` per unit) so that long texts
@@ -33,6 +34,8 @@ BUCKETS = 10_000
 #: Nats of mean weight per n-gram that count as one nat of a key.
 TEMPERATURE = 0.02
 FRACTION = 0.75
+#: Labelled good documents that the target model reads at most, the first by a hash of their id.
+MAX_TARGET = 20_000
 SEED = 7
 
 _KIND = np.full(256, 2, np.uint8)
@@ -60,8 +63,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def bucket_counts(docs: DataFrame, target_ids: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """n-grams in each bucket: of the documents in ``target_ids`` (column id), and of all."""
-    marked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(target_ids.select("id", F.lit(1).alias("good")).distinct(), "id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
+    """n-grams in each bucket: of the documents in ``target_ids`` (column id, a bounded sample), and of all. No text is shuffled."""
+    marked = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(target_ids.select("id", F.lit(1).alias("good"))), "id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -97,7 +100,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text:
             n = len(offsets) - 1
             count = np.bincount(row, minlength=n)
             total = np.bincount(row, weights=r[bucket], minlength=n)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count.astype(np.int64)), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_grams", "log_weight"])
 
     out = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, "doc_id long, n_grams long, log_weight double")
     # 53 bits of a hash as a number inside (0, 1)
@@ -124,9 +127,9 @@ def _kth_key(keys: DataFrame, k: int) -> tuple[float, int]:
     return low, need
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, id_column: str = "doc_id", text: str = "text", label: str = "quality", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, id_column: str = "doc_id", text: str = "text", label: str = "quality", temperature: float = TEMPERATURE, seed: int = SEED, max_target: int = MAX_TARGET) -> DataFrame:
     """(doc_id, n_grams, log_weight, sample_key, kept) of every row; kept for ceil(fraction * rows) of them."""
-    good = labels.filter(F.col(label) == 1).select(F.col(id_column).cast("long").alias("id"))
+    good = labels.filter((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_target)
     weighed = settle(weigh(docs, log_ratios(*bucket_counts(docs, good, id_column, text)), id_column, text, temperature, seed))
     rows = weighed.count()
     k = -(-rows * round(fraction * 10**6) // 10**6)
