@@ -32,7 +32,7 @@ from tidemark.llm.runtime import settle
 
 THRESHOLD = 0.93
 TABLES = 12
-HASHES = 2
+HASHES = 3
 PROBES = 4
 SEED = 41
 
