@@ -12,8 +12,7 @@ is two passes over the atoms, and what reaches the driver is a few rows a node.
 
 Law ``bytes``: shard sizes are near equal, as far as one text's copies, which
 stay together, let them be. ``slot`` numbers the rows of a shard from 0 without
-a gap. Null texts have size 16 and are one group, apart from empty ones only by
-their null; null languages and sources are smallest. Repeated rows are counted
+a gap. Null texts are empty ones: size 16, one group; null languages and sources are smallest. Repeated rows are counted
 and numbered one by one; ties in a slot's order go by id and then stay open.
 An empty table gives no rows. Columns besides the named ones are not read.
 """
@@ -117,8 +116,8 @@ def _split(atoms: DataFrame, tree: Node, spread: dict[str, int]) -> bool:
 
 def assign(docs: DataFrame, shards: int = SHARDS, text: str = "text", id_column: str = "doc_id", lang: str = "lang", source: str = "source", row_bytes: int = ROW_BYTES) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row."""
-    body = F.col(text)
-    rows = docs.select(F.col(id_column).alias("doc_id"), (F.coalesce(F.octet_length(body), F.lit(0)) + row_bytes).cast("long").alias("size"), F.crc32(F.coalesce(body, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.xxhash64(body), F.octet_length(body), F.crc32(body.cast("binary"))).alias("text_key"), _cell(F.col(lang).cast("string")).alias("x_lang"), _cell(F.col(source).cast("string")).alias("x_source"))
+    full = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(id_column).alias("doc_id"), (F.octet_length(full) + row_bytes).cast("long").alias("size"), F.crc32(full.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(F.xxhash64(full), F.octet_length(full), F.crc32(full.cast("binary"))).alias("text_key"), _cell(F.col(lang).cast("string")).alias("x_lang"), _cell(F.col(source).cast("string")).alias("x_source"))
     atoms = settle(_atoms(rows))
     facts = atoms.agg(F.sum("weight").alias("total"), *[(F.max(f"x_{d}") - F.min(f"x_{d}")).alias(d) for d in DIMENSIONS]).first()
     if facts["total"] is None:
