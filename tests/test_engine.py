@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import documents
 from tidemark.operators import chunks, dead_letters, relational, upsert
 from tidemark.plans import config
 from tidemark.plans.expressions import ExpressionError, compile_expression
@@ -189,16 +190,56 @@ def test_relational_helpers(spark):
     assert relational.needs_initial_sync(True, False, False, t.limit(0)) is True
 
 
-def test_config():
+def test_config_formats_and_merge():
     legacy = config.load('{"db_host": "h", "db_user": "u", "es_addresses": ["a"]}')
-    assert legacy.problems() == [] and legacy.jobs[0]["source_id"] == "mysql-main"
-    new = config.load('{"data_sources": [{"id": "s"}], "sinks": [{"id": "k"}], "jobs": [{"id": "j", "source_id": "s", "sink_id": "none"}]}')
+    assert legacy.problems() == [] and legacy.jobs[0]["source_id"] == legacy.data_sources[0]["id"] == "default-mysql"
+    new = config.load('{"version": "2.0", "data_sources": [{"id": "s"}], "sinks": [{"id": "k"}], "jobs": [{"id": "j", "source_id": "s", "sink_id": "none"}]}')
     assert len(new.problems()) == 1
-    merged = config.merge(new, config.MultiConfig(data_sources=[{"id": "mysql-default"}, {"id": "s", "old": 1}, {"id": "t"}]))
-    assert [x["id"] for x in merged.data_sources] == ["s", "t"]
-    assert config.detect_format("[]") == config.detect_format("{") == "unknown"
-    with pytest.raises(ValueError):
+    merged = config.merge(new, config.MultiConfig(data_sources=[{"id": "default-mysql"}, {"id": "s", "old": 1}, {"id": "t"}], jobs=[{"id": "default-job"}]))
+    assert [x["id"] for x in merged.data_sources] == ["s", "t"] and [x["id"] for x in merged.jobs] == ["j"]
+    assert config.detect_version("[]") == config.detect_version("{") == "unknown"
+    with pytest.raises(config.ConfigError):
         config.load("{}")
+    assert config.MultiConfig(options={"dlq_config": {"retry_delay": "1m30s"}}).dead_letters()["retry_delay"] == 90
+    with pytest.raises(config.ConfigError):
+        config.seconds("soon")
+
+
+def test_config_store(tmp_path):
+    path = tmp_path / "c.json"
+    path.write_text('{"db_host": "h", "db_name": "d", "es_addresses": ["a"]}')
+    store = config.ConfigStore(str(path))
+    store.open()
+    assert config.detect_version(path.read_text()) == "2.0" and len(list(tmp_path.glob("*.backup_*"))) == 1
+    told = []
+    store.listen(lambda old, new: told.append((len(old.jobs), len(new.jobs))))
+    store.add("jobs", {"id": "j2", "source_id": "default-mysql", "sink_id": "default-es"})
+    with pytest.raises(config.ConfigError):
+        store.add("jobs", {"id": "j2"})
+    assert not store.poll() and store.config.find("jobs", "j2")
+    text = path.read_text()
+    path.write_text("{broken")
+    assert not store.poll()
+    value = json.loads(text)
+    value["jobs"].pop()
+    path.write_text(json.dumps(value))
+    assert store.poll() and told == [(2, 1)]
+    store.remove("jobs", "default-job")
+    with pytest.raises(config.ConfigError):
+        store.remove("jobs", "default-job")
+
+
+def test_index_store_compacts(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "i"), "app", compact_every=3)
+    for k in range(1, 8):
+        store.write(events(spark, ("UPDATE", k, "a", k), ("INSERT", k, f"k{k}", k), ("DELETE", k, f"k{k - 2}", 0)))
+    assert store.version() == 7
+    assert sorted(p.name for p in (tmp_path / "i").iterdir()) == ["b6", "d7"]
+    assert {r["pk"]: r["seq"] for r in store.read().collect()} == {"a": 7, "k6": 6, "k7": 7}
+
+
+def test_quote_name():
+    assert documents.quote_name('a.b"c') == '"a"."b""c"'
 
 
 def test_registry():

@@ -18,6 +18,11 @@ def composite_key(*columns: Column) -> Column:
     return F.concat_ws(":", *[F.coalesce(c.cast("string"), F.lit("<nil>")) for c in columns])
 
 
+def quote_name(name: str) -> str:
+    """An identifier for SQL text, quotes doubled; a dotted name part by part."""
+    return ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
+
+
 def row_key(columns: Iterable[Column]) -> Column:
     """A key for tables without one: a digest of the whole row."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -91,6 +91,6 @@ def adaptive_size(rows: Column, base: int = 100_000) -> Column:
 
 def group_boundaries(df: DataFrame, key: str, groups: int) -> DataFrame:
     """(bucket, first_key, last_key, n) of ``groups`` parts of nearly equal rows."""
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / groups) for k in range(1, groups)]), 10_000).alias("cuts"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(key))))
-    return placed.groupBy("bucket").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
+    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / groups) for k in range(1, groups)]), 10_000)).first()[0]
+    bucket = sum([(F.col(key) > c).cast("int") for c in cuts or []], F.lit(0))
+    return df.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))

@@ -46,8 +46,15 @@ def recovered(items: DataFrame) -> DataFrame:
 def route_retry(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """(item_id, target_job): the item's own job if enabled, else the smallest enabled one, else null. ``jobs``: (job_id, enabled)."""
     enabled = jobs.filter("enabled").select("job_id").distinct()
-    fallback = enabled.agg(F.min("job_id").alias("fallback"))
-    return items.join(enabled.withColumnRenamed("job_id", "own"), F.col("job_id") == F.col("own"), "left").crossJoin(F.broadcast(fallback)).select("item_id", F.coalesce("own", "fallback").alias("target_job"))
+    fallback = enabled.agg(F.min("job_id")).first()[0]
+    own = items.join(enabled.withColumnRenamed("job_id", "own"), F.col("job_id") == F.col("own"), "left")
+    return own.select("item_id", F.coalesce("own", F.lit(fallback).cast("string")).alias("target_job"))
+
+
+def list_items(items: DataFrame, status: str | None = None, limit: int = 100) -> DataFrame:
+    """The oldest items of a status, or of all; a report of ``limit`` rows."""
+    some = items.filter(F.col("status") == status) if status else items
+    return some.orderBy("first_failed", "item_id").limit(limit)
 
 
 def status_counts(items: DataFrame) -> DataFrame:

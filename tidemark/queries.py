@@ -560,6 +560,23 @@ def dlq_stats(spark, sf_dir):
     return dead_letters.status_counts(_items(spark, sf_dir))
 
 
+@query("SELECT event_id::VARCHAR AS item_id FROM events WHERE event_type = 'error' AND event_id % 5 > 1 ORDER BY event_id % 20 DESC, event_id::VARCHAR LIMIT 20")
+def dlq_list(spark, sf_dir):
+    return dead_letters.list_items(_items(spark, sf_dir), "pending", 20).select("item_id")
+
+
+@query("SELECT 'OBJECT<k: BIGINT>' AS found")
+def schema_sniff(spark, sf_dir):
+    return spark.createDataFrame([(readers.sniff_schema(_t(spark, sf_dir, "events"), "props"),)], "found string")
+
+
+@query("""SELECT count(*) AS rows_in, max(b) - min(b) + 1 AS n_buckets, true AS even FROM (SELECT o_orderkey % 4 AS b FROM orders)""")
+def chunk_equal_rows(spark, sf_dir):
+    parts = chunks.group_boundaries(_t(spark, sf_dir, "orders"), "o_orderkey", 4)
+    even = F.max("n") <= 1.1 * F.min("n")
+    return parts.agg(F.sum("n").alias("rows_in"), F.count("*").alias("n_buckets"), even.alias("even"))
+
+
 _DAYS = "SELECT DISTINCT user_id FROM events WHERE event_type = '{}'"
 
 

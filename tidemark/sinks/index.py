@@ -1,9 +1,11 @@
-"""Keyed document indices as versioned Parquet, and bulk text for a search service.
-
-An index is a folder of versions; each write merges a batch into the last
-version, writes the next and then names it in a small pointer file, so readers
-see whole versions only and a failed write leaves the last one. Deleted keys stay
-as tombstones with their sequence; ``read`` hides them.
+"""Keyed document indices as Parquet deltas over a base, and bulk text for a search service.
+
+A write appends its batch, one row a key, as the next delta: its cost is that of
+the batch. A read merges the base and the deltas after it by key and sequence,
+so order of writes and repeated writes don't matter. Every ``compact_every``
+deltas become a new base. A folder counts once its write has finished, so
+readers see whole versions and a failed write is overwritten by the next.
+Deleted keys stay as tombstones with their sequence; ``read`` hides them.
 """
 
 from __future__ import annotations
@@ -12,38 +14,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.documents import index_name, strip_metadata_json
-from tidemark.operators.upsert import known_operations, merge_state
+from tidemark.operators.upsert import known_operations, latest
 
 COLUMNS = ["index", "pk", "op", "seq", "data"]
-SCHEMA = "pk string, op string, seq long, data string, index string"
+SCHEMA = "index string, pk string, op string, seq long, data string"
 
 
 class IndexStore:
     """Documents by index and key below ``root``, a path that Spark's readers and writers reach."""
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str):
-        self.spark, self.root, self.prefix = spark, root.rstrip("/"), prefix
+    def __init__(self, spark: SparkSession, root: str, prefix: str, compact_every: int = 16):
+        self.spark, self.root, self.prefix, self.compact_every = spark, root.rstrip("/"), prefix, compact_every
 
-    def _path(self, name: str):
+    def _path(self, name: str = ""):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
-        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The last version whose write was finished, 0 for none."""
-        fs, at = self._fs(), self._path("")
+    def _finished(self) -> tuple[int, list[int]]:
+        """The version of the newest base, 0 for none, and the deltas after it."""
+        fs, at = self._fs(), self._path()
         if not fs.exists(at):
-            return 0
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("v") and fs.exists(self._path(f"{s.getPath().getName()}/_SUCCESS"))]
-        return max(done, default=0)
+            return 0, []
+        names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
+        done = [n for n in names if n[0] in "bd" and n[1:].isdigit() and fs.exists(self._path(f"{n}/_SUCCESS"))]
+        base = max([int(n[1:]) for n in done if n[0] == "b"], default=0)
+        return base, sorted(int(n[1:]) for n in done if n[0] == "d" and int(n[1:]) > base)
+
+    def version(self) -> int:
+        """The last write that was finished, 0 for none."""
+        base, deltas = self._finished()
+        return max([base, *deltas])
+
+    def _rows(self) -> DataFrame | None:
+        base, deltas = self._finished()
+        names = [f"b{base}"] * bool(base) + [f"d{n}" for n in deltas]
+        return self.spark.read.schema(SCHEMA).option("basePath", self.root).parquet(*[f"{self.root}/{n}" for n in names]).select(*COLUMNS) if names else None
 
     def state(self) -> DataFrame:
-        """All rows, tombstones included."""
-        v = self.version()
-        return self.spark.read.parquet(f"{self.root}/v{v}").select(*COLUMNS) if v else self.spark.createDataFrame([], SCHEMA).select(*COLUMNS)
+        """The newest row of every key, tombstones included."""
+        rows = self._rows()
+        return latest(rows, ["index", "pk"]) if rows is not None else self.spark.createDataFrame([], SCHEMA).select(*COLUMNS)
 
     def read(self, index: str | None = None) -> DataFrame:
+        """Live documents; a filter on the index reaches the scan."""
         live = self.state().filter("op <> 'DELETE'")
         return live.filter(F.col("index") == index) if index else live
 
@@ -52,14 +67,23 @@ class IndexStore:
         known = known_operations(events)
         return known.select(index_name(self.prefix, F.col("table")).alias("index"), "pk", "op", F.col("seq").cast("long").alias("seq"), strip_metadata_json(F.col("data")).alias("data"))
 
-    def write(self, events: DataFrame, keep: int = 2) -> int:
-        """Merge a batch; the same batch again changes nothing. Returns the new version."""
-        v = self.version()
-        merged = merge_state(self.state(), self.route(events), ["index", "pk"])
-        merged.write.mode("overwrite").partitionBy("index").parquet(f"{self.root}/v{v + 1}")
-        if v >= keep:
-            self._fs().delete(self._path(f"v{v + 1 - keep}"), True)
-        return v + 1
+    def write(self, events: DataFrame) -> int:
+        """Append a batch; the same batch again changes nothing. Returns the new version."""
+        base, deltas = self._finished()
+        v = max([base, *deltas]) + 1
+        latest(self.route(events), ["index", "pk"]).write.mode("overwrite").parquet(f"{self.root}/d{v}")
+        if len(deltas) + 1 >= self.compact_every:
+            self.compact()
+        return v
+
+    def compact(self) -> None:
+        """The state as a new base; what it replaces goes once it is finished."""
+        base, deltas = self._finished()
+        if not deltas:
+            return
+        self.state().repartition("index", "pk").sortWithinPartitions("index", "pk").write.mode("overwrite").parquet(f"{self.root}/b{deltas[-1]}")
+        for name in [f"b{base}"] * bool(base) + [f"d{n}" for n in deltas]:
+            self._fs().delete(self._path(name), True)
 
     def describe(self) -> DataFrame:
         """(index, n_docs) of indices that hold live documents."""
