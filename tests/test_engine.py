@@ -105,6 +105,31 @@ def test_pgoutput_frames(spark, tmp_path):
     assert by["0/7"]["kind"] == by["0/8"]["kind"] == "ERROR"
 
 
+def test_frames_as_a_stream_keep_relations(spark, tmp_path):
+    spark.dataSource.register(FrameSource)
+    folder = tmp_path / "wal"
+    folder.mkdir()
+
+    def append(slot, first, *frames, torn=b""):
+        with open(folder / f"{slot}.frames", "ab") as f:
+            for k, frame in enumerate(frames):
+                f.write(len(frame).to_bytes(4, "big") + (first + k).to_bytes(8, "big") + frame)
+            f.write(torn)
+
+    def run():
+        decoded = pgoutput.decode_stream(spark.readStream.format("wal_frames").load(str(folder)))
+        decoded.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return {(r["slot"], r["lsn"]): r["kind"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    relation = pgoutput.encode_relation(1, "public", "users", [("id", 20, True)])
+    append("a", 1, relation, pgoutput.encode_row("I", 1, ["1"]), torn=b"\0\0")
+    append("b", 1, pgoutput.encode_row("I", 1, ["1"]))
+    assert run() == {("a", "0/1"): "RELATION", ("a", "0/2"): "INSERT", ("b", "0/1"): "ERROR"}
+    (folder / "a.frames").write_bytes((folder / "a.frames").read_bytes()[:-2])
+    append("a", 3, pgoutput.encode_row("D", 1, old=["1"]))
+    assert run()[("a", "0/3")] == "DELETE" and len(run()) == 4
+
+
 @pytest.mark.parametrize("low, high, size", [(1, 1, 10), (1, 5, 10), (0, 99, 10), (5, 1004, 7), (1, 100000, 100)])
 def test_chunk_plans_cover(low, high, size):
     even, strides = chunks.plan_even(low, high, size), chunks.plan_strides(low, high, size)

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql import types as T
 
 from tidemark.model import CHANGE_EVENT
@@ -36,38 +36,77 @@ def stream_change_log(spark: SparkSession, path: str, schema: T.StructType = CHA
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
-@dataclass
-class _FramePartition(InputPartition):
-    path: str = ""
+class _FrameRange(InputPartition):
+    """Bytes [start, end) of one file, both at record boundaries, with the number of the first record."""
+
+    def __init__(self, path: str, start: int, end: int, seq: int):
+        self.path, self.start, self.end, self.seq = path, start, end, seq
+
+
+def _records(path: str, start: int, end: int, seq: int) -> Iterator[tuple]:
+    """Each file is one slot: records of length (4 bytes), LSN (8 bytes) and frame."""
+    slot = os.path.basename(path).removesuffix(".frames")
+    with open(path, "rb") as f:
+        f.seek(start)
+        while f.tell() < end:
+            head = f.read(12)
+            size, lsn = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:], "big")
+            yield slot, f"{lsn >> 32:X}/{lsn & 0xFFFFFFFF:X}", seq, f.read(size)
+            seq += 1
+
+
+def _complete(path: str, start: int, seq: int) -> tuple[int, int]:
+    """Where the last whole record from ``start`` ends, and the number of the record that comes next; a record that is still being written waits."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        while start + 12 <= size:
+            f.seek(start)
+            end = start + 12 + int.from_bytes(f.read(4), "big")
+            if end > size:
+                break
+            start, seq = end, seq + 1
+    return start, seq
+
+
+def _frame_files(folder: str) -> list[str]:
+    return sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".frames"))
 
 
 class _FrameReader(DataSourceReader):
-    """Each file is one slot: length-prefixed records of LSN (8 bytes) and frame."""
+    def __init__(self, options: dict):
+        self.folder = options["path"]
+
+    def partitions(self) -> list[_FrameRange]:
+        return [_FrameRange(p, 0, _complete(p, 0, 0)[0], 0) for p in _frame_files(self.folder)]
+
+    def read(self, partition: _FrameRange) -> Iterator[tuple]:
+        return _records(partition.path, partition.start, partition.end, partition.seq)
+
+
+class _FrameStream(DataSourceStreamReader):
+    """Offsets are the end of the last whole record of every file; they live in the query's checkpoint."""
 
     def __init__(self, options: dict):
-        self.path = options["path"]
-
-    def partitions(self) -> list[_FramePartition]:
-        names = sorted(n for n in os.listdir(self.path) if n.endswith(".frames"))
-        out = []
-        for n in names:
-            p = _FramePartition(n)
-            p.path = os.path.join(self.path, n)
-            out.append(p)
-        return out
-
-    def read(self, partition: _FramePartition) -> Iterator[tuple]:
-        slot = os.path.basename(partition.path).removesuffix(".frames")
-        with open(partition.path, "rb") as f:
-            seq = 0
-            while head := f.read(12):
-                size, lsn = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:], "big")
-                yield slot, f"{lsn >> 32:X}/{lsn & 0xFFFFFFFF:X}", seq, f.read(size)
-                seq += 1
+        self.folder = options["path"]
+        self.seen: dict = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        for p in _frame_files(self.folder):
+            self.seen[p] = list(_complete(p, *self.seen.get(p, (0, 0))))
+        return dict(self.seen)
+
+    def partitions(self, start: dict, end: dict) -> list[_FrameRange]:
+        return [_FrameRange(p, *((start.get(p) or [0, 0])[:1]), end[p][0], (start.get(p) or [0, 0])[1]) for p in sorted(end) if end[p] != start.get(p)]
+
+    def read(self, partition: _FrameRange) -> Iterator[tuple]:
+        return _records(partition.path, partition.start, partition.end, partition.seq)
 
 
 class FrameSource(DataSource):
-    """``spark.read.format("wal_frames").load(folder)``: slot, lsn, seq, frame. The folder is on a file system that all executors mount."""
+    """``format("wal_frames").load(folder)``, batch or stream: slot, lsn, seq, frame. All executors mount the folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,6 +118,9 @@ class FrameSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FrameReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _FrameStream(dict(self.options))
+
 
 def describe_table(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(column_name, ordinal, data_type, nullable, is_key) of a table."""
