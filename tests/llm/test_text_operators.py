@@ -2,31 +2,24 @@
 
 import hashlib
 import random
-import re
 
 import numpy as np
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
+from tests_llm_plain import plain_components, plain_contamination, plain_fingerprint, words_of
 from tidemark.llm import bpe, decontaminate, licenses, simhash, substring_dedup, token_counts
 from tidemark.llm.vocabulary import load
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def docs_of(spark, texts, start=0):
     return spark.createDataFrame([(k + start, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(texts)], DOCS)
 
 
-def words_of(text):
-    return WORD.findall((text or "").translate(AZ))
-
-
 @pytest.fixture(scope="module")
 def corpus(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
@@ -84,29 +77,6 @@ def test_token_counts(spark, corpus):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(text.encode()), n > 1024)
 
 
-def plain_fingerprint(text):
-    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").translate(AZ).encode())
-    shingles = [b" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [b" ".join(w)] * bool(w)
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
-
-
-def plain_components(ids, values, close):
-    parent = dict(zip(range(len(ids)), range(len(ids))))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(ids)):
-        for j in range(i):
-            if close(values[i], values[j]):
-                a, b = find(i), find(j)
-                parent[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
-    return {ids[i]: ids[find(i)] for i in range(len(ids))}
-
-
 def test_simhash_against_all_pairs(spark, corpus):
     texts = [r["text"] for r in corpus.orderBy("doc_id").limit(150).collect()]
     base = " ".join(f"word{k}" for k in range(300))
@@ -143,25 +113,6 @@ def test_simhash_edges_of_input(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4] and kept.columns == ["doc_id", "text", "fp", "component_id"]
 
 
-def plain_contamination(texts, items):
-    windows = {}
-    for name, text in items:
-        w = words_of(text)
-        for k in range(max(1, len(w) - 12) if w else 0):
-            windows.setdefault(tuple(w[k : k + 13]), set()).add(str(name))
-    out = []
-    for text in texts:
-        w, hit, names = words_of(text), set(), set()
-        for size in {len(x) for x in windows}:
-            for k in range(len(w) - size + 1):
-                if (x := tuple(w[k : k + size])) in windows:
-                    hit.update(range(k, k + size))
-                    names |= windows[x]
-        joined = ",".join(sorted(names))
-        out.append((len(w), len(hit), len(names), hashlib.sha256(joined.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
-    return out
-
-
 def test_decontamination(spark, corpus, sf_dir):
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     bench += [(900, "Two WORDS"), (901, None), (902, "!!"), (903, "dup dup dup " * 8), (904, bench[0][1]), (None, "null item here now")]
