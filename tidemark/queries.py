@@ -85,10 +85,12 @@ def cdc_pk_change(spark, sf_dir):
     return upsert.split_key_changes(o, "before", "after")
 
 
-@query("SELECT user_id::VARCHAR AS pk, count(*) AS n FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_id % 4000 = 0) GROUP BY 1")
+@query("""WITH e AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS t FROM events), c AS (SELECT t, max(event_id) AS cut FROM e WHERE event_id % 400 = 0 GROUP BY t)
+SELECT e.t AS table_name, user_id::VARCHAR AS pk, count(*) AS n FROM e LEFT JOIN c USING (t) WHERE event_id % 400 <> 0 AND (cut IS NULL OR event_id > cut) GROUP BY 1, 2""")
 def cdc_truncate(spark, sf_dir):
-    log = change_log(spark, sf_dir).withColumn("op", F.when(F.col("seq") % 4000 == 0, "TRUNCATE").otherwise(F.col("op")))
-    return upsert.after_truncation(log).groupBy("pk").agg(F.count("*").alias("n"))
+    e = _t(spark, sf_dir, "events")
+    log = e.select(F.when(F.col("event_id") % 400 == 0, "TRUNCATE").otherwise("UPDATE").alias("op"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("pk"), F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("table"))
+    return upsert.after_truncation(log).groupBy(F.col("table").alias("table_name"), "pk").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, max(event_id) AS seq, arg_max(event_type, event_id) FILTER (event_id % 3 <> 0) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
