@@ -105,6 +105,13 @@ def test_pgoutput_frames(spark, tmp_path):
     assert by["0/7"]["kind"] == by["0/8"]["kind"] == "ERROR"
 
 
+def test_preloaded_relations(spark):
+    relation = pgoutput.encode_relation(7, "public", "t", [("id", 20, True)])
+    frames = spark.createDataFrame([("s", "0/1", 0, bytearray(pgoutput.encode_row("I", 7, ["5"])))], "slot string, lsn string, seq long, frame binary")
+    assert pgoutput.decode_frames(frames, [relation]).first()["pk"] == "5"
+    assert pgoutput.decode_frames(frames).first()["kind"] == "ERROR"
+
+
 def test_frames_as_a_stream_keep_relations(spark, tmp_path):
     spark.dataSource.register(FrameSource)
     folder = tmp_path / "wal"

@@ -37,3 +37,8 @@ def throughput(batches: DataFrame, value: str, failed: Column) -> DataFrame:
 
 def event_counts(events: DataFrame, job: str) -> DataFrame:
     return events.groupBy(job).agg(F.count("*").alias("n_events"))
+
+
+def worker_rates(batches: DataFrame, worker: str, rows: str, elapsed_seconds: float) -> DataFrame:
+    """Batches, rows and rows a second of each worker."""
+    return batches.groupBy(worker).agg(F.count("*").alias("batches"), F.sum(rows).alias("done_rows"), (F.sum(rows) / F.lit(elapsed_seconds)).alias("rows_per_second"))

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import bson, datetimes, documents, inference, masks, pgtypes, positions
@@ -639,6 +639,62 @@ def change_stream_events(spark, sf_dir):
     return source_events.from_change_stream(stream).select(F.col("seq").alias("event_id"), "op", "pk")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ok' ELSE concat('a', chr(65533), 'b') END AS text FROM events")
+def utf8_repair(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 2 == 0, F.lit(b"ok")).otherwise(F.lit(b"a\xffb"))
+    return _t(spark, sf_dir, "events").select("event_id", inference.repair_utf8(raw).alias("text"))
+
+
+@query("SELECT event_id, floor(epoch(ts))::BIGINT AS s, coalesce(CASE WHEN event_type = 'error' THEN 1 END, 0) AS failed FROM events")
+def epoch_extract(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"), F.coalesce(F.when(F.col("event_type") == "error", 1), F.lit(0)).alias("failed"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 2) OR event_id % 4 = 1 AND event_id > 1 AS valid FROM events")
+def checkpoint_validity(spark, sf_dir):
+    k, i = F.col("event_id") % 4, F.col("event_id")
+    kind = F.when(k == 0, "mysql").when(k == 1, "postgresql").when(k == 2, "mongodb").otherwise("mysql")
+    position = F.when(k == 0, F.concat(F.lit("binlog.000001:"), i.cast("string"))).when(k == 1, F.concat(F.lit("0/"), F.hex(F.when(i > 1, i).otherwise(0)))).when(k == 2, F.base64(i.cast("string").cast("binary"))).otherwise("nowhere")
+    return _t(spark, sf_dir, "events").select("event_id", positions.checkpoint_valid(kind, position).alias("valid"))
+
+
+@query("SELECT o_orderkey // 3000 AS chunk_id, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, true AS in_order FROM orders GROUP BY 1")
+def chunk_sorted_scan(spark, sf_dir):
+    """Each chunk's rows arrive in key order: the gap to the row before is never negative."""
+    o = _t(spark, sf_dir, "orders").withColumn("chunk_id", F.floor(F.col("o_orderkey") / 3000))
+    ordered = o.repartition("chunk_id").sortWithinPartitions("chunk_id", "o_orderkey").select("chunk_id", "o_orderkey", F.monotonically_increasing_id().alias("at"))
+    gaps = ordered.withColumn("gap", F.col("o_orderkey") - F.lag("o_orderkey").over(Window.partitionBy("chunk_id").orderBy("at")))
+    return gaps.groupBy("chunk_id").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.coalesce(F.min("gap") >= 0, F.lit(True)).alias("in_order"))
+
+
+@query("""SELECT * FROM (VALUES ('bigint', 'long', NULL), ('text', 'text', 'standard'), ('timestamp', 'date', NULL), ('numeric', 'scaled_float', NULL), ('point', 'geo_point', NULL), ('_int4', 'integer', NULL), ('jsonb', 'object', NULL), ('inet', 'ip', NULL), ('no such type', 'keyword', NULL)) t(name, index_type, analyzer)""")
+def index_type_mapping(spark, sf_dir):
+    types = pgtypes.TypeRegistry()
+    names = ["bigint", "text", "timestamp", "numeric", "point", "_int4", "jsonb", "inet", "no such type"]
+    return spark.createDataFrame([(n, types.index_mapping(n)["type"], types.index_mapping(n).get("analyzer")) for n in names], "name string, index_type string, analyzer string")
+
+
+@query()
+def table_row_estimate(spark, sf_dir):
+    """Rows by file sizes and column widths, without a scan."""
+    return spark.createDataFrame([(t, readers.estimated_rows(_t(spark, sf_dir, t))) for t in ("orders", "lineitem", "events")], "table_name string, about long")
+
+
+@query("SELECT event_type AS worker, count(*) AS batches, sum(user_id)::BIGINT AS done_rows, sum(user_id) / 60.0::DOUBLE AS rows_per_second FROM events GROUP BY 1")
+def worker_stats(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_type").alias("worker"), F.col("user_id").alias("n"))
+    return progress.worker_rates(e, "worker", "n", 60.0)
+
+
+@query(f"SELECT user_id::VARCHAR AS pk, event_id AS seq FROM ({_LAST})")
+def index_merge_old_events(spark, sf_dir):
+    """A replay of old events onto a newer state leaves it as it is."""
+    log = change_log(spark, sf_dir)
+    state = upsert.latest(log, ["pk"])
+    return upsert.merge_state(state, log.filter("seq % 2 = 0"), ["pk"]).select("pk", "seq")
+
+
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder that all executors see; machine-local only where the session names none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")

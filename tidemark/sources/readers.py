@@ -128,6 +128,16 @@ def describe_table(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, ordinal int, data_type string, nullable boolean, is_key boolean")
 
 
+def estimated_rows(df: DataFrame) -> int:
+    """Rows from the optimizer's statistics: its row count if it has one, else bytes by the width of a row."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    if stats.rowCount().isDefined():
+        return int(str(stats.rowCount().get()))
+    widths = {"integer": 4, "date": 4, "boolean": 1, "string": 20}
+    width = sum(widths.get(f.dataType.typeName(), 8) for f in df.schema.fields)
+    return int(str(stats.sizeInBytes())) // max(1, width)
+
+
 def sniff_schema(df: DataFrame, json_column: str) -> str:
     """The merged schema of all documents of a column, not of one sample."""
     return df.select(F.schema_of_variant_agg(F.try_parse_json(json_column)).alias("s")).first()[0]
