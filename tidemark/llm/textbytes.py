@@ -14,6 +14,9 @@ import pyarrow as pa
 #: Bytes of text that a kernel takes at once; a longer single document is a block of its own.
 BLOCK_BYTES = 3_000_000
 
+#: Bytes that one prefix sum of the span hashes covers.
+HASH_BYTES = 1 << 18
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: The bytes of a word once A-Z are lower case: 0-9, a-z and all non-ASCII bytes.
@@ -58,12 +61,12 @@ def blocks_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int
             yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes; starts and ends of all words; index of each row's first word."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; starts and ends of all words, runs of ``is_word`` bytes; index of each row's first word."""
     low = LOWER[data]
     n = len(low)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = IS_WORD[low]
+    inside[1:-1] = is_word[low]
     edge = offsets[offsets < n]
     begins = inside[1:-1] & ~inside[:-2]
     begins[edge] = inside[1:-1][edge]
@@ -93,12 +96,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of byte spans, by one prefix sum."""
-    power, inverse = _power_tables(len(low) + 1)
-    sums = np.empty(len(low) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[low] * power[: len(low)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts])
+    """64-bit polynomial hashes of byte spans, their starts ascending, by prefix sums over about ``HASH_BYTES`` at a time."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        base = starts[k]
+        j = int(np.searchsorted(starts, base + HASH_BYTES))
+        part = low[base : ends[k:j].max()]
+        power, inverse = _power_tables(len(part) + 1)
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE_VALUE[part] * power[: len(part)], out=sums[1:])
+        out[k:j] = (sums[ends[k:j] - base] - sums[starts[k:j] - base]) * inverse[starts[k:j] - base]
+        k = j
+    return mix64(out)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
