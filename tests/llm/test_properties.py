@@ -47,9 +47,16 @@ def test_word_bounds_are_those_of_the_pattern(texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(TEXT)
-def test_fingerprint(text):
-    assert simhash.majority_bits(np.array(simhash.shingle_hashes(text.encode()), np.uint64)) == plain_fingerprint(text)
+@given(st.lists(TEXT, min_size=1, max_size=4), st.sampled_from([3, 65_536]))
+def test_fingerprints(texts, block):
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)
+    usual, simhash.BLOCK_SHINGLES = simhash.BLOCK_SHINGLES, block
+    try:
+        got = simhash.prints(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    finally:
+        simhash.BLOCK_SHINGLES = usual
+    assert [int(x) % 2**64 for x in got] == [plain_fingerprint(t) for t in texts]
 
 
 @settings(max_examples=200, deadline=None)

@@ -110,7 +110,10 @@ def test_simhash_edges_of_input(spark):
     got = sorted((r["doc_id"] is not None and r["doc_id"], r["component_id"]) for r in simhash.near_duplicate_components(df).collect())
     assert got == [(False, 3), (3, 3), (3, 3), (4, 4), (9, 4)]
     kept = simhash.keep_representatives(df.withColumn("fp", F.lit("mine")).withColumn("component_id", F.lit(1)))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4] and kept.columns == ["doc_id", "text", "fp", "component_id"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+    bare = df.filter("doc_id is null").unionByName(spark.createDataFrame([(None, "quite another text of its own"), (None, "quite another text of its own"), (7, "a b c")], "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_representatives(bare).collect()) == [(0, "a b c d e f"), (0, "quite another text of its own"), (7, "a b c")]
+    assert kept.columns == ["doc_id", "text", "fp", "component_id"]
 
 
 def test_decontamination(spark, corpus, sf_dir):

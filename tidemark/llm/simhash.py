@@ -25,55 +25,76 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.buckets import Forest, by_group, crowded, grouped, pair_blocks
 from tidemark.llm.components import connected_components
-from tidemark.llm.runtime import settle
-from tidemark.llm.textbytes import row_blocks, column_bytes
+from tidemark.llm.runtime import join_side, settle
+from tidemark.llm.textbytes import blocks_of, word_bounds
 
 SHINGLE_WORDS = 4
 SEED = 42
 MAX_BITS = 4
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE_WORDS, seed: int = SEED) -> list[int]:
-    """XXH64 of each shingle of the words between ASCII white space, A-Z lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return []
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [digest(joined, seed)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    return [digest(joined[s:e], seed) for s, e in zip(starts[: -size + 1].tolist() if size > 1 else starts.tolist(), ends[size - 1 :].tolist())]
-
-
-def majority_bits(hashes: np.ndarray) -> int:
-    """The fingerprint: bits set in more than half of ``hashes``."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    counts = np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+#: Shingles that are hashed and counted at a time.
+BLOCK_SHINGLES = 65_536
+
+_VISIBLE = np.ones(256, bool)
+_VISIBLE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
+
+def prints(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """Fingerprints of rows of text: each bit that is set in more than half of a row's shingle hashes.
+
+    Words stand between ASCII white space, A-Z lower-cased; a row of fewer words
+    than ``size`` is one shingle. Shingles are slices of the text with white space
+    squeezed, hashed in blocks, so memory doesn't grow with the longest text.
+    """
+    low, starts, ends, rows = word_bounds(data, offsets, _VISIBLE)
+    white = ~_VISIBLE[low]
+    keep = ~white
+    after = ends[ends < len(low)]
+    keep[after] = True
+    squeezed = np.where(white, np.uint8(0x20), low)[keep].tobytes()
+    begin = np.cumsum(keep)[starts] - 1
+    end = begin + ends - starts
+    n_words = np.diff(rows)
+    n = np.where(n_words > 0, np.maximum(n_words - size + 1, 1), 0)
+    edges = np.concatenate([[0], np.cumsum(n)])
+    counts, digest = np.zeros((len(n), 64), np.int64), xxhash.xxh64_intdigest
+    for a in range(0, int(edges[-1]), BLOCK_SHINGLES):
+        b = min(a + BLOCK_SHINGLES, int(edges[-1]))
+        row = np.searchsorted(edges, np.arange(a, b), side="right") - 1
+        first = rows[row] + np.arange(a, b) - edges[row]
+        last = first + np.minimum(size, n_words[row]) - 1
+        hashes = np.array([digest(squeezed[s:e], seed) for s, e in zip(begin[first].tolist(), end[last].tolist())], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        counts[row[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, fp): the 64-bit fingerprint of every row, as a signed long."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            for i, j in row_blocks(offsets, 1_000_000):
-                block = data[offsets[i] : offsets[j]].tobytes()
-                at = (offsets[i : j + 1] - offsets[i]).tolist()
-                fps = [majority_bits(np.array(shingle_hashes(block[s:e]), np.uint64)) for s, e in zip(at, at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+        for block, data, offsets in blocks_of(batches, limit=1_000_000):
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(prints(data, offsets))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, "doc_id long, fp long")
 
 
+def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``__fp``."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in blocks_of(batches, text=text, limit=1_000_000):
+            yield block.append_column("__fp", pa.array(prints(data, offsets)))
+
+    return docs.mapInArrow(kernel, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
 def block_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
     """A mask for each choice of ``blocks - max_bits`` of the blocks."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -126,7 +147,21 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", id_column: st
 
 
 def keep_representatives(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; rows that repeat such an id stay once."""
-    found = near_duplicate_components(docs, text, id_column)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(first, F.col(id_column).eqNullSafe(F.col("__keep_id")), "left_semi").dropDuplicates([id_column])
+    """One row of each group: that whose id is the component's.
+
+    Rows that repeat such an id stay once. Rows without an id stay, once a
+    fingerprint, where no row with an id has their fingerprint.
+    """
+    found = settle(near_duplicate_components(docs, text, id_column))
+    known = found.filter("doc_id is not null")
+    gone = known.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.filter(F.col(id_column).isNotNull()).join(join_side(gone), F.col(id_column) == F.col("__gone"), "left_anti")
+    again = join_side(known.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1").select("__again"))
+    if not again.isEmpty():
+        twice = kept.join(again, F.col(id_column) == F.col("__again"), "left_semi").dropDuplicates([id_column])
+        kept = kept.join(again, F.col(id_column) == F.col("__again"), "left_anti").unionByName(twice)
+    if found.filter("doc_id is null").isEmpty():
+        return kept
+    bare = docs.filter(F.col(id_column).isNull())
+    marked = with_fingerprints(bare, text).join(known.select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_anti")
+    return kept.unionByName(marked.dropDuplicates(["__fp"]).drop("__fp"))
