@@ -7,6 +7,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,6 +46,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a settled side that a join may broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` settled, with a broadcast hint if its counted rows are few; else the join shuffles. Rows must be narrow."""
+    df = settle(df)
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,8 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.runtime import join_side
 from tidemark.llm.textbytes import LOWER, blocks_of
 
+#: Documents with cuts, a few dozen bytes a cut, that the join with the texts may broadcast.
+CUT_ROWS = 100_000
 REACH = 3
 MIN_WORDS = 20
 
@@ -116,7 +119,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     """``docs`` with repeated spans cut from ``text``; ``chars``, if named, gets the new length in characters."""
     spans = repeated_spans(docs, text, id_column, reach, min_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("cuts"))
     cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "cuts")).alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_column).eqNullSafe(F.col("__id")), "left")
+    joined = docs.join(join_side(cuts, CUT_ROWS), F.col(id_column).eqNullSafe(F.col("__id")), "left")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in blocks_of(batches, text=text, limit=2_000_000):
