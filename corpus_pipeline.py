@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, simhash, substring_dedup, toxicity
 from tidemark.llm.queries import TOKENIZER, fold
-from tidemark.llm.runtime import ensure_checkpoint_dir, table
+from tidemark.llm.runtime import ensure_checkpoint_dir, join_side, ship, table
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +27,13 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    ship(spark)
     return simhash.keep_representatives(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut out; all documents stay."""
+    ship(spark)
     return substring_dedup.remove_repeats(docs, chars="n_chars")
 
 
@@ -39,11 +41,12 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Contaminated documents go; the rest stays as it is."""
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
     tainted = found.filter("contaminated").select(F.col("doc_id").alias("__tainted")).distinct()
-    return docs.join(tainted, F.col("doc_id").eqNullSafe(F.col("__tainted")), "left_anti")
+    return docs.join(join_side(tainted), F.col("doc_id").eqNullSafe(F.col("__tainted")), "left_anti")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the text they decode to."""
+    ship(spark)
     return bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
