@@ -69,7 +69,7 @@ def test_backward_search_counts_and_locates(text, phrase, every):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(TEXT, min_size=1, max_size=4))
+@given(st.lists(st.one_of(TEXT, st.lists(st.sampled_from("a of the tion retion inghe onthan ér".split()), max_size=150).map(" ".join)), min_size=1, max_size=4))
 def test_chunks_tile_every_text(texts):
     raw = [t.encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int64)

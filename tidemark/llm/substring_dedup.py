@@ -30,6 +30,8 @@ from tidemark.llm.textbytes import LOWER, blocks_of
 #: Documents with cuts, a few dozen bytes a cut, that the join with the texts may broadcast.
 CUT_ROWS = 100_000
 REACH = 3
+#: Bytes that a 16-bit gear hash sees.
+WINDOW = 16
 MIN_WORDS = 20
 
 _GEAR = np.random.default_rng(1607).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -57,6 +59,9 @@ def chunk_bounds(low: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tu
     last[heads] = False
     at = np.flatnonzero(last)
     row = np.searchsorted(offsets, at, side="right") - 1
+    # word ends whose hash would see bytes of the row before take no part
+    own = at - offsets[row] >= WINDOW
+    at, row = at[own], row[own]
     # a total order of word ends that is the same in every copy of the text
     hashes = gear_hashes(low)[at - 1].astype(np.int64) if n else np.zeros(0, np.int64)
     least = np.ones(len(at), bool)
@@ -68,8 +73,7 @@ def chunk_bounds(low: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tu
     # a row's first and last word ends have no full neighbourhood
     order = np.arange(len(at)) - np.searchsorted(row, row)
     left = np.searchsorted(row, row, side="right") - np.searchsorted(row, row) - 1 - order
-    # nor do its first bytes have a hash of its own text alone
-    least &= (order >= reach) & (left >= reach) & (at - offsets[row] >= 16)
+    least &= (order >= reach) & (left >= reach)
     cut = np.zeros(n + 1, bool)
     cut[at[least] + 1] = True
     cut[offsets] = True
