@@ -227,6 +227,13 @@ def test_substring_edges_of_input(spark):
     assert all(n < len(p) / 4 for d, n in kept if d in (None, 9))
 
 
+def test_repeated_words_shared_by_documents(spark):
+    rng = random.Random(10)
+    p = "the " * 60
+    texts = [passage(rng, 100) + " " + p + passage(rng, 50), passage(rng, 80) + " " + p + passage(rng, 90)]
+    assert {r["doc_id"] for r in substring_dedup.repeated_spans(docs_of(spark, texts)).collect()} == {1}
+
+
 def test_repeats_inside_one_document_stay(spark):
     rng = random.Random(9)
     p = passage(rng, 100)

@@ -3,8 +3,9 @@
 A gear hash (h = 2h + gear[byte], 16 bits, so it sees the last 16 bytes) rolls
 over the lower-cased text. A white-space byte ends a chunk if its hash is the
 least of those of the ``reach`` word ends before and after it: the choice
-depends on nearby text alone, so an insertion shifts no later boundary, and
-every chunk has more than ``reach`` words. Chunks are joined by digest. A chunk
+depends on nearby text alone, so an insertion shifts no later boundary. Equal
+least hashes all end chunks, so a word that is repeated over and over is cut
+too; other chunks have more than ``reach`` words. Chunks are joined by digest. A chunk
 repeats if a document with a smaller id holds its digest; a run of adjacent
 repeating chunks of at least ``min_words`` words is a repeated span. The
 first holder keeps its text, and repeats inside one document alone stay.
@@ -62,14 +63,14 @@ def chunk_bounds(low: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tu
     # word ends whose hash would see bytes of the row before take no part
     own = at - offsets[row] >= WINDOW
     at, row = at[own], row[own]
-    # a total order of word ends that is the same in every copy of the text
+    # the same in every copy of the text
     hashes = gear_hashes(low)[at - 1].astype(np.int64) if n else np.zeros(0, np.int64)
     least = np.ones(len(at), bool)
     for k in range(1, reach + 1):
         if len(at) > k:
             same = row[k:] == row[:-k]
             least[k:] &= ~same | (hashes[k:] <= hashes[:-k])
-            least[:-k] &= ~same | (hashes[:-k] < hashes[k:])
+            least[:-k] &= ~same | (hashes[:-k] <= hashes[k:])
     # a row's first and last word ends have no full neighbourhood
     order = np.arange(len(at)) - np.searchsorted(row, row)
     left = np.searchsorted(row, row, side="right") - np.searchsorted(row, row) - 1 - order
