@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import join_side
-from tidemark.llm.textbytes import LOWER, blocks_of
+from tidemark.llm.runtime import join_side, settle
+from tidemark.llm.textbytes import LOWER, blocks_of, mix64
 
 #: Documents with cuts, a few dozen bytes a cut, that the join with the texts may broadcast.
 CUT_ROWS = 100_000
@@ -87,7 +87,20 @@ def chunk_bounds(low: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> tu
     return starts, ends, words[ends] - words[starts], np.searchsorted(offsets, starts, side="right") - 1
 
 
-def chunks(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH) -> DataFrame:
+def merge_equal(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, row: np.ndarray, digests: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """Neighbouring chunks of one digest, as of a word repeated over and over, become one; if it has ``min_words`` words, with a digest that only such ones have."""
+    head = np.ones(len(starts), bool)
+    head[1:] = (digests[1:] != digests[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(head)
+    if len(at) == len(starts):
+        return starts, ends, words, row, digests
+    last = np.append(at[1:], len(starts)) - 1
+    total = np.add.reduceat(words, at)
+    long_ = (last > at) & (total >= min_words)
+    return starts[at], ends[last], total, row[at], np.where(long_, mix64(digests[at].view(np.uint64)).view(np.int64), digests[at])
+
+
+def chunks(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, first, last, words, digest); text_key tells apart texts under one id."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +110,7 @@ def chunks(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach
             starts, ends, words, row = chunk_bounds(low, offsets, reach)
             raw = low.tobytes()
             digests = np.array([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+            starts, ends, words, row, digests = merge_equal(starts, ends, words, row, digests, min_words)
             source, at = data.tobytes(), offsets.tolist()
             keys = np.array([xxhash.xxh32_intdigest(source[s:e]) for s, e in zip(at, at[1:])], np.uint32).view(np.int32)
             base = offsets[row]
@@ -111,8 +125,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     kept_doc_ids: the distinct first holders of its chunks, sorted; at most as
     many as the span has chunks.
     """
-    pieces = chunks(docs, text, id_column, reach)
+    pieces = chunks(docs, text, id_column, reach, min_words)
+    # settled, so that the join below deals both sides anew and may split the rows of a hot digest
     shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("top"), F.bool_or(F.col("doc_id").isNull()).alias("bare")).filter("kept < top or (bare and kept is not null)").select("digest", "kept")
+    shared = settle(shared)
     repeats = pieces.join(shared, "digest").filter("doc_id is null or doc_id > kept").select("doc_id", "text_key", "first", "last", "words", "kept").distinct()
     per_text = Window.partitionBy("doc_id", "text_key").orderBy("first")
     runs = repeats.withColumn("fresh", F.coalesce((F.col("first") != F.lag("last").over(per_text)).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(per_text))
