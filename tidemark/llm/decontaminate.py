@@ -234,8 +234,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: s
     sets = [docs.sparkSession.sparkContext.broadcast(s) for s in phrase_sets(benchmark, window=window)]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
         kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first_word", "last_word", "first_byte", "end_byte")])))])
         for block, data, offsets in blocks_of(batches, limit=shard_bytes):
             low, starts, ends, rows = word_bounds(data, offsets)

@@ -5,7 +5,8 @@ over the lower-cased text. A white-space byte ends a chunk if its hash is the
 least of those of the ``reach`` word ends before and after it: the choice
 depends on nearby text alone, so an insertion shifts no later boundary. Equal
 least hashes all end chunks, so a word that is repeated over and over is cut
-too; other chunks have more than ``reach`` words. Chunks are joined by digest. A chunk
+too, and equal neighbours are then one chunk; other chunks have more than
+``reach`` words. Chunks are joined by digest. A chunk
 repeats if a document with a smaller id holds its digest; a run of adjacent
 repeating chunks of at least ``min_words`` words is a repeated span. The
 first holder keeps its text, and repeats inside one document alone stay.
