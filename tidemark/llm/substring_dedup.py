@@ -1,7 +1,9 @@
 """Substring deduplication by content-defined chunks.
 
 A gear hash (h = 2h + gear[byte], 16 bits, so it sees the last 16 bytes) rolls
-over the lower-cased text. A white-space byte ends a chunk if its hash is the
+over the lower-cased words of a text, joined by single spaces, so copies that are
+wrapped or spaced otherwise have the same chunks; cuts are made at the bytes of the
+text as it is. A white-space byte ends a chunk if its hash is the
 least of those of the ``reach`` word ends before and after it: the choice
 depends on nearby text alone, so an insertion shifts no later boundary. Equal
 least hashes all end chunks, so a word that is repeated over and over is cut
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import join_side, settle
-from tidemark.llm.textbytes import LOWER, blocks_of, mix64
+from tidemark.llm.textbytes import blocks_of, mix64, word_bounds
 
 #: Documents with cuts, a few dozen bytes a cut, that the join with the texts may broadcast.
 CUT_ROWS = 100_000
@@ -41,6 +43,17 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+def squeeze(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's lower-cased words joined by single spaces, the new row offsets, and the place in ``data`` of every byte kept; a space is the first of its run."""
+    low, starts, ends, rows = word_bounds(data, offsets, ~_WHITE)
+    white = _WHITE[low]
+    keep = ~white
+    row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    keep[ends[:-1][row[1:] == row[:-1]]] = True
+    place = np.flatnonzero(keep)
+    return np.where(white, np.uint8(0x20), low)[place], np.concatenate([[0], np.cumsum(keep)])[offsets], place
+
+
 def gear_hashes(data: np.ndarray) -> np.ndarray:
     """The rolling hash at every byte, its 16 terms summed by doubling."""
     h = _GEAR[data]
@@ -107,11 +120,15 @@ def chunks(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for block, data, offsets in blocks_of(batches, limit=2_000_000):
-            low = LOWER[data]
-            starts, ends, words, row = chunk_bounds(low, offsets, reach)
+            low, squeezed, place = squeeze(data, offsets)
+            starts, ends, words, row = chunk_bounds(low, squeezed, reach)
             raw = low.tobytes()
-            digests = np.array([digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+            # without the space that ends it, as a text's last chunk has none
+            digests = np.array([digest(raw[s:e].rstrip(b" ")) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
             starts, ends, words, row, digests = merge_equal(starts, ends, words, row, digests, min_words)
+            # back to bytes of the text: a cut is after the first white-space byte, a row's outer white space is with its outer chunks
+            head, tail = starts == squeezed[row], ends == squeezed[row + 1]
+            starts, ends = np.where(head, offsets[row], place[starts - 1] + 1), np.where(tail, offsets[row + 1], place[ends - 1] + 1)
             source, at = data.tobytes(), offsets.tolist()
             keys = np.array([xxhash.xxh32_intdigest(source[s:e]) for s, e in zip(at, at[1:])], np.uint32).view(np.int32)
             base = offsets[row]
