@@ -12,11 +12,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, simhash, substring_dedup, toxicity
 from tidemark.llm.queries import TOKENIZER, fold
-from tidemark.llm.runtime import ensure_checkpoint_dir, join_side, ship, table
+from tidemark.llm.runtime import ensure_checkpoint_dir, ship, table
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +37,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; the rest stays as it is."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    tainted = found.filter("contaminated").select(F.col("doc_id").alias("__tainted")).distinct()
-    return docs.join(join_side(tainted), F.col("doc_id").eqNullSafe(F.col("__tainted")), "left_anti")
+    """Contaminated documents go, row by row whatever their ids; the rest stays as it is."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import textwrap
 
 import numpy as np
 
+import corpus_pipeline
 from test_text_operators import docs_of, passage
 from tidemark.llm import substring_dedup
 from tidemark.llm.textbytes import LOWER
@@ -38,3 +39,13 @@ def test_squeezed_bytes_know_their_place():
     low, squeezed, place = substring_dedup.squeeze(data, offsets)
     assert [low[a:b].tobytes() for a, b in zip(squeezed, squeezed[1:])] == [b" ".join(t.lower().split()) for t in texts]
     assert all(LOWER[data[k]] == c or c == 0x20 and bytes([data[k]]).isspace() for k, c in zip(place, low))
+
+
+def test_contaminated_rows_go_alone(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = ["nothing of a test is here", "nor is it here", "a third clean text"]
+    rows = [(None, item), (None, clean[0]), (None, clean[1]), (7, item), (7, clean[2]), (8, item)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.benchmark_stage(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(0, clean[0]), (0, clean[1]), (7, clean[2])])

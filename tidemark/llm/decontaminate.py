@@ -11,7 +11,7 @@ loses nothing.
 Null and empty texts have no words, are hit nowhere and are clean. Null
 benchmark texts and those without words are no items. Items with one item_id
 are one item with the phrases of all; a null item_id is the string "null".
-Repeated documents are judged row by row. Tables without rows give no rows, or
+Repeated documents are judged, and dropped, row by row. Tables without rows give no rows, or
 clean documents. Columns besides the named ones are not read.
 """
 
@@ -226,6 +226,36 @@ def occurrences(known: np.ndarray, shortest: int, lengths_of: PhraseSet, rows: n
     return phrase, origin[places]
 
 
+def hit_words(sets: list[PhraseSet], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
+    """Starts and ends of a block's words, index of each row's first, whether a phrase covers each word, and the items of rows that are hit."""
+    low, starts, ends, rows = word_bounds(data, offsets)
+    hashes = span_hashes(low, starts, ends)
+    cover = np.zeros(len(starts) + 1, np.int32)
+    items: dict[int, set[str]] = {}
+    for s in sets:
+        if not len(s.vocabulary) or not len(hashes):
+            continue
+        at = np.minimum(np.searchsorted(s.vocabulary, hashes), len(s.vocabulary) - 1)
+        known = np.where(s.vocabulary[at] == hashes, at + 2, 0)
+        phrase, first = occurrences(known, int(s.lengths.min()), s, rows)
+        owner = np.searchsorted(rows, first, side="right") - 1
+        for p, f, d in zip(phrase.tolist(), first.tolist(), owner.tolist()):
+            words = s.words[p]
+            if all(low[starts[f + k] : ends[f + k]].tobytes() == w for k, w in enumerate(words)):
+                cover[f] += 1
+                cover[f + len(words)] -= 1
+                items.setdefault(d, set()).update(s.items[p])
+    hit = np.cumsum(cover[:-1]) > 0
+    return starts, ends, rows, hit, items
+
+
+def hit_counts(rows: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and words hit of each row, and whether it is contaminated."""
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_words, n_hit = np.diff(rows), total[rows[1:]] - total[rows[:-1]]
+    return n_words, n_hit, (n_hit > 0) & (20 * n_hit >= n_words)
+
+
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<first_word:int,last_word:int,first_byte:int,end_byte:int>>"
 
 
@@ -236,26 +266,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: s
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first_word", "last_word", "first_byte", "end_byte")])))])
         for block, data, offsets in blocks_of(batches, limit=shard_bytes):
-            low, starts, ends, rows = word_bounds(data, offsets)
-            hashes = span_hashes(low, starts, ends)
-            cover = np.zeros(len(starts) + 1, np.int32)
-            items: dict[int, set[str]] = {}
-            for s in (b.value for b in sets):
-                if not len(s.vocabulary) or not len(hashes):
-                    continue
-                at = np.minimum(np.searchsorted(s.vocabulary, hashes), len(s.vocabulary) - 1)
-                known = np.where(s.vocabulary[at] == hashes, at + 2, 0)
-                phrase, first = occurrences(known, int(s.lengths.min()), s, rows)
-                owner = np.searchsorted(rows, first, side="right") - 1
-                for p, f, d in zip(phrase.tolist(), first.tolist(), owner.tolist()):
-                    words = s.words[p]
-                    if all(low[starts[f + k] : ends[f + k]].tobytes() == w for k, w in enumerate(words)):
-                        cover[f] += 1
-                        cover[f + len(words)] -= 1
-                        items.setdefault(d, set()).update(s.items[p])
-            hit = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_words, n_hit = np.diff(rows), total[rows[1:]] - total[rows[:-1]]
+            starts, ends, rows, hit, items = hit_words([b.value for b in sets], data, offsets)
+            n_words, n_hit, contaminated = hit_counts(rows, hit)
             names = [sorted(items.get(d, ())) for d in range(len(n_words))]
             spans: list[list[dict]] = [[] for _ in names]
             for d in np.flatnonzero(n_hit).tolist():
@@ -269,7 +281,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: s
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                    pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                    pa.array(contaminated),
                     pa.array(names, pa.list_(pa.string())),
                     pa.array(spans, kinds.field("spans").type),
                 ],
@@ -277,3 +289,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: s
             )
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs`` that ``scan`` doesn't call contaminated, unchanged; ids play no part."""
+    sets = [docs.sparkSession.sparkContext.broadcast(s) for s in phrase_sets(benchmark, window=window)]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in blocks_of(batches, text=text, limit=shard_bytes):
+            _, _, rows, hit, _ = hit_words([b.value for b in sets], data, offsets)
+            yield block.filter(pa.array(~hit_counts(rows, hit)[2]))
+
+    return docs.mapInArrow(kernel, docs.schema)
