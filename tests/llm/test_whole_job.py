@@ -7,7 +7,8 @@ import numpy as np
 
 import corpus_pipeline
 from test_text_operators import docs_of, passage
-from tidemark.llm import substring_dedup
+from tests_llm_plain import plain_fingerprint
+from tidemark.llm import simhash, substring_dedup
 from tidemark.llm.textbytes import LOWER
 
 
@@ -49,3 +50,18 @@ def test_contaminated_rows_go_alone(spark, sf_dir):
     out = corpus_pipeline.benchmark_stage(spark, docs, sf_dir)
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == sorted([(0, clean[0]), (0, clean[1]), (7, clean[2])])
+
+
+def test_ids_with_several_texts_are_judged_text_by_text(spark):
+    rng = random.Random(12)
+    a, b, c, d = (passage(rng, 200) for _ in range(4))
+    near = next(x for x in (b + " " + passage(rng, 1) for _ in range(99)) if 0 < (plain_fingerprint(b) ^ plain_fingerprint(x)).bit_count() <= 4)
+    rows = [(9, a), (9, b), (9, b), (5, b), (11, c), (11, d), (11, d), (20, d), (9, near), (30, a)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, other string")
+    out = simhash.keep_representatives(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(9, a), (5, b), (11, c), (11, d)])
+    # an id that two near texts share links no other group, and one of the two stays
+    rows = [(9, a), (9, b), (5, near), (6, c), (6, c + " more")]
+    out = simhash.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"][:50]) for r in out) == sorted([(9, a[:50]), (5, near[:50]), (6, c[:50])])

@@ -146,21 +146,39 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", id_column: st
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def first_of_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, first_id, first_fp) for every fingerprint that a row with an id has: the least (doc_id, fp) of its group.
+
+    Fingerprints are the nodes, so texts that share an id link no groups.
+    """
+    known = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    component = connected_components(close_links(known.select("fp", F.col("fp").alias("rep")), enough_blocks(known.count(), max_bits), max_bits))
+    linked = known.join(component, known.fp == component.node).groupBy("component").agg(F.min(F.struct("rep", "fp")).alias("first"))
+    named = component.join(linked, "component").select("node", "first")
+    first = F.coalesce("first", F.struct("rep", "fp"))
+    return known.join(named, known.fp == named.node, "left").select("fp", first["rep"].alias("first_id"), first["fp"].alias("first_fp"))
+
+
 def keep_representatives(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row of each group: that whose id is the component's.
+    """One row of each group: that with the least id and, of those, the least fingerprint.
 
-    Rows that repeat such an id stay once. Rows without an id stay, once a
-    fingerprint, where no row with an id has their fingerprint.
+    An id with several texts is decided text by text; rows that repeat an id and
+    a fingerprint stay once. Rows without an id stay, once a fingerprint, where no
+    row with an id has their fingerprint.
     """
-    found = settle(near_duplicate_components(docs, text, id_column))
-    known = found.filter("doc_id is not null")
-    gone = known.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.filter(F.col(id_column).isNotNull()).join(join_side(gone), F.col(id_column) == F.col("__gone"), "left_anti")
-    again = join_side(known.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1").select("__again"))
+    prints = settle(fingerprints(docs, text, id_column))
+    known = prints.filter("doc_id is not null")
+    judged = settle(known.join(first_of_groups(prints), "fp").select("doc_id", "fp", (F.struct("doc_id", "fp") == F.struct("first_id", "first_fp")).alias("stays")))
+    per_id = settle(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays")))
+    apart = join_side(per_id.filter("n > 1 or not stays").select(F.col("doc_id").alias("__apart")))
+    kept = docs.filter(F.col(id_column).isNotNull()).join(apart, F.col(id_column) == F.col("__apart"), "left_anti")
+    again = join_side(per_id.filter("n > 1 and stays").select(F.col("doc_id").alias("__again")))
     if not again.isEmpty():
-        twice = kept.join(again, F.col(id_column) == F.col("__again"), "left_semi").dropDuplicates([id_column])
-        kept = kept.join(again, F.col(id_column) == F.col("__again"), "left_anti").unionByName(twice)
-    if found.filter("doc_id is null").isEmpty():
+        twice = with_fingerprints(docs.join(again, F.col(id_column) == F.col("__again"), "left_semi"), text)
+        stay = join_side(judged.filter("stays").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__first")).distinct())
+        twice = twice.join(stay, (F.col(id_column) == F.col("__id")) & (F.col("__fp") == F.col("__first")), "left_semi")
+        kept = kept.unionByName(twice.dropDuplicates([id_column, "__fp"]).drop("__fp"))
+    if prints.filter("doc_id is null").isEmpty():
         return kept
     bare = docs.filter(F.col(id_column).isNull())
     marked = with_fingerprints(bare, text).join(known.select(F.col("fp").alias("__fp")).distinct(), "__fp", "left_anti")
