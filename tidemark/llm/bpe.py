@@ -7,9 +7,15 @@ text. Of these pairs only those are used at which the pattern that splits text
 before merging cannot look across either: a visible character before ASCII
 white space, letter before letter, and letter or digit before another class.
 
-Null and empty texts have no tokens and decode to the empty text. Each row is
-encoded by itself; repeated rows give repeated results, an empty table none.
+Null and empty texts have no tokens and decode to the empty text. Bytes that are
+no UTF-8 are read as U+FFFD. Each row is
+encoded by itself; repeated rows give repeated results, an empty table none. Ids
+are integers, or text that reads as such; other text is an error.
 Columns besides the named ones are not read.
+
+A worker holds one block of texts (``BLOCK`` bytes, or one text) and remembers short
+fragments in ``CACHE_BYTES`` at most; text without any certain cut is one fragment,
+which is encoded and forgotten.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbytes import blocks_of
+from tidemark.llm.textbytes import blocks_of, valid_utf8
 from tidemark.llm.vocabulary import Vocabulary, load
 
-#: Fragments that a worker remembers; then it forgets all and goes on.
-CACHE_FRAGMENTS = 250_000
+#: Bytes of fragments, their ids and what Python adds to each, that a worker remembers; then it forgets all and goes on.
+CACHE_BYTES = 48_000_000
+#: Bytes of the longest fragment that is remembered, and of what a dictionary and two objects take besides their content.
+LONGEST, OBJECT_BYTES = 64, 200
 BLOCK = 1_000_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _FAR = range(5)
@@ -79,23 +87,30 @@ class Encoder:
     def __init__(self, path: str):
         self.path, self.vocabulary = path, load(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         if not len(data):
             return [b""] * (len(offsets) - 1)
+        data, offsets, raw = valid_utf8(data, offsets)
         at = fragment_bounds(data, offsets, self.path)
-        raw, cuts = data.tobytes(), at.tolist()
+        cuts = at.tolist()
         parts = [raw[s:e] for s, e in zip(cuts, cuts[1:])]
         known = self.known
         new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > CACHE_FRAGMENTS:
-            known.clear()
-            new = list(dict.fromkeys(parts))
         for k in range(0, len(new), 20_000):
             some = new[k : k + 20_000]
             for p, e in zip(some, self.vocabulary.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
                 known[p] = np.array(e.ids, "<u4").tobytes()
         packed = list(map(known.__getitem__, parts))
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+            else:
+                self.held += len(p) + len(known[p]) + OBJECT_BYTES
+        if self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
         rows = np.searchsorted(at, offsets).tolist()
         return [b"".join(packed[s:e]) for s, e in zip(rows, rows[1:])]
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +26,17 @@ def ship(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test, a laptop) gets a folder of
-    its own, and only if none was set by hand.
+    Only a session on one machine (a test, a laptop) without that setting gets a
+    folder of its own; on a cluster its absence is an error, as no machine could
+    read what another wrote.
     """
     ship(spark)
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"spark.checkpoint.dir names no folder that driver and executors of {context.master} share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -56,6 +61,31 @@ def join_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: for what is read more than once by some of its columns."""
+    at = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows of one class beyond which its join is no shuffle.
+HOT_ROWS = 100_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of their class; ``on`` is unique in ``classes``, without nulls, and ``size`` counts its rows.
+
+    Classes of over ``hot`` rows are broadcast, so their rows stay where they are;
+    there is at most one for every ``hot`` rows. The others are joined by a shuffle
+    in which no key has more than ``hot`` rows. Both sides should be settled.
+    """
+    large = settle(classes.filter(F.col(size) > hot))
+    if large.isEmpty():
+        return rows.join(classes.drop(size), on)
+    large = F.broadcast(large)
+    return rows.join(large.drop(size), on).unionByName(rows.join(large.select(*on), on, "left_anti").join(classes.filter(F.col(size) <= hot).drop(size), on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -43,6 +43,29 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def valid_utf8(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """``data`` and ``offsets`` with every byte that is no UTF-8 replaced by U+FFFD, and the data as bytes; nearly always just as they are."""
+    raw, heads = data.tobytes(), data[offsets[:-1][np.diff(offsets) > 0]]
+    try:
+        raw.decode()
+        # no character goes from one row to the next
+        if not ((heads & 0xC0) == 0x80).any():
+            return data, offsets, raw
+    except UnicodeDecodeError:
+        pass
+    at = offsets.tolist()
+    parts = [raw[s:e].decode("utf-8", "replace").encode() for s, e in zip(at, at[1:])]
+    raw = b"".join(parts)
+    return np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), raw
+
+
+def string_column(parts: list[bytes | None], kind: pa.DataType = pa.string()) -> pa.Array:
+    """A string column of these bytes, as they are."""
+    wide = pa.types.is_large_string(kind)
+    column = pa.array(parts, pa.large_binary() if wide else pa.binary())
+    return pa.Array.from_buffers(kind, len(column), column.buffers(), column.null_count)
+
+
 def row_blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes each, or of one row."""
     first, rows = 0, len(offsets) - 1

@@ -9,8 +9,10 @@ from the left chunk and those after it from the right one, so the count is that
 of the whole text. Without such a place the overlap is doubled, up to the
 chunk; a chunk that still has none is joined to the next and encoded anew.
 
-Null and empty texts have no tokens. Each row is counted by itself; an empty
-table gives no rows; columns besides the named ones are not read.
+Null and empty texts have no tokens. Bytes that are no UTF-8 are read as U+FFFD;
+``n_bytes`` counts the bytes as they are. Each row is counted by itself; an empty
+table gives no rows; columns besides the named ones are not read. Ids are integers,
+or text that reads as such; other text is an error.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbytes import blocks_of
+from tidemark.llm.textbytes import blocks_of, valid_utf8
 from tidemark.llm.vocabulary import Vocabulary, load
 
 CHUNK_BYTES = 32_768
@@ -81,13 +83,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(path)
         for block, data, offsets in blocks_of(batches, limit=BLOCK):
-            raw, at, sizes = data.tobytes(), offsets.tolist(), np.diff(offsets)
+            stored = np.diff(offsets)
+            _, offsets, raw = valid_utf8(data, offsets)
+            at, sizes = offsets.tolist(), np.diff(offsets)
             small = np.flatnonzero(sizes <= chunk)
             counts = np.zeros(len(sizes), np.int64)
             encoded = vocabulary.tokenizer.encode_batch_fast([raw[at[k] : at[k + 1]].decode() for k in small.tolist()], add_special_tokens=False)
             counts[small] = [len(e) for e in encoded]
             for k in np.flatnonzero(sizes > chunk).tolist():
                 counts[k] = count_spliced(vocabulary, raw[at[k] : at[k + 1]], chunk, overlap)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(stored, pa.int64()), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
