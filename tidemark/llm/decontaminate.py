@@ -8,35 +8,42 @@ Words that no phrase holds can be part of no occurrence: a run of other words
 that is shorter than the shortest phrase is left out of the index, which
 loses nothing.
 
+The benchmark, the stated query set, is cut into sets of at most ``SET_BYTES`` of text,
+a long item into overlapping pieces, so the object made of a set is bounded too
+(``PhraseSet.nbytes``). The driver builds one set at a time, Spark keeps them on the
+executors' disks, and a worker reads one at a time for each of its shards; a benchmark
+of any size costs time in proportion, and no more memory than one set.
+
 Null and empty texts have no words, are hit nowhere and are clean. Null
 benchmark texts and those without words are no items. Items with one item_id
 are one item with the phrases of all; a null item_id is the string "null".
 Repeated documents are judged, and dropped, row by row. Tables without rows give no rows, or
-clean documents. Columns besides the named ones are not read.
+clean documents. Document ids are integers, or text that reads as such; other text is
+an error. Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textbytes import blocks_of, hash_words, span_hashes, word_bounds
+from tidemark.llm.textbytes import blocks_of, mix64, span_hashes, word_bounds
 
 WINDOW = 13
 SAMPLE_EVERY = 16
 #: Bytes of documents in one index.
 SHARD_BYTES = 6_000_000
-#: Bytes of benchmark text that are searched as one set; more are searched in several sets.
-PHRASE_BLOCK_BYTES = 16_000_000
-
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes of benchmark text that are searched as one set.
+SET_BYTES = 4_000_000
+#: Windows of one item that a set holds at most.
+PIECE_WINDOWS = 100_000
 
 
 class BitRank:
@@ -117,14 +124,14 @@ class FMIndex:
         self.is_sampled = BitRank(sampled)
         self.samples = order[sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges [lo, hi) of the phrases, the rows of a matrix filled from the left."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size)
+    def search(self, words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges [lo, hi) of the phrases that stand in ``words`` from ``first`` on."""
+        lo, hi = np.zeros(len(first), np.int64), np.full(len(first), self.size)
         for k in range(int(lengths.max(initial=0))):
             live = np.flatnonzero((lengths > k) & (lo < hi))
             if not len(live):
                 break
-            symbol = phrases[live, lengths[live] - 1 - k]
+            symbol = words[first[live] + lengths[live] - 1 - k].astype(np.int64)
             base = self.before[symbol]
             lo[live], hi[live] = base + self.bwt.rank(symbol, lo[live]), base + self.bwt.rank(symbol, hi[live])
         return lo, np.maximum(lo, hi)
@@ -147,46 +154,98 @@ class FMIndex:
 
 @dataclass
 class PhraseSet:
-    """Distinct windows as word numbers (from 2; 1 parts runs), and the items of each."""
+    """Distinct windows over the items' words, and the items of each; words are numbers from 2, as 1 parts runs of a shard."""
 
     vocabulary: np.ndarray  # sorted word hashes
-    phrases: np.ndarray
+    low: np.ndarray  # the items' bytes in lower case
+    starts: np.ndarray  # of each word in ``low``
+    ends: np.ndarray
+    text: np.ndarray  # the number of each word
+    first: np.ndarray  # a place of each window in ``text``
     lengths: np.ndarray
-    words: list[tuple[bytes, ...]]
-    items: list[tuple[str, ...]]
-
-
-def phrase_set(items: list[tuple[str, str]], window: int = WINDOW) -> PhraseSet:
-    owners: dict[tuple[bytes, ...], set[str]] = {}
-    for name, text in items:
-        words = _WORD.findall(text.encode().lower())
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            owners.setdefault(tuple(words[k : k + window]), set()).add(name)
-    windows = list(owners)
-    flat = sorted({w for x in windows for w in x})
-    hashes = hash_words(flat)
-    vocabulary = np.sort(hashes)
-    number = dict(zip(flat, (np.searchsorted(vocabulary, hashes) + 2).tolist()))
-    phrases = np.zeros((len(windows), window), np.int64)
-    for k, x in enumerate(windows):
-        phrases[k, : len(x)] = [number[w] for w in x]
-    return PhraseSet(vocabulary, phrases, np.array([len(x) for x in windows], np.int64), windows, [tuple(sorted(owners[x])) for x in windows])
-
-
-def phrase_sets(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW, block_bytes: int = PHRASE_BLOCK_BYTES) -> list[PhraseSet]:
-    """The benchmark, the stated query set, in sets of a checked size."""
-    rows = benchmark.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("name"), F.col(text).alias("text"))
-    sets, held, size = [], [], 0
+    owner_at: np.ndarray  # owners of window k are owners[owner_at[k] : owner_at[k + 1]]
+    owners: np.ndarray
+    names: list[str]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray)) + sum(len(n) + 64 for n in self.names)
+
+    def words(self, k: int) -> list[bytes]:
+        """The words of window k."""
+        a = self.first[k]
+        return [self.low[s:e].tobytes() for s, e in zip(self.starts[a : a + self.lengths[k]], self.ends[a : a + self.lengths[k]])]
+
+
+def phrase_set(items: list[tuple[str, bytes]], window: int = WINDOW) -> PhraseSet:
+    texts = [t for _, t in items]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    low, starts, ends, rows = word_bounds(data, offsets)
+    hashes = span_hashes(low, starts, ends)
+    vocabulary, number = np.unique(hashes, return_inverse=True)
+    n_words = np.diff(rows)
+    per = np.where(n_words > 0, np.maximum(n_words - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(items)), per)
+    first = np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(rows[:-1], per)
+    lengths = np.minimum(n_words, window)[item]
+    # windows of the same words, by 128 bits of hash
+    one, two = lengths.astype(np.uint64), lengths.astype(np.uint64)
+    for k in range(window):
+        inside = lengths > k
+        word = hashes[first[inside] + k]
+        one[inside], two[inside] = mix64(one[inside] * np.uint64(31) + word), mix64(two[inside] ^ (word * np.uint64(0x9E3779B97F4A7C15)))
+    label: dict[str, int] = {}
+    named = np.array([label.setdefault(n, len(label)) for n, _ in items], np.int32)
+    owner = named[item]
+    order = np.lexsort((owner, two, one))
+    one, two, owner = one[order], two[order], owner[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    other = fresh.copy()
+    other[1:] |= owner[1:] != owner[:-1]
+    heads = order[fresh]
+    return PhraseSet(vocabulary, low, starts.astype(np.int32), ends.astype(np.int32), (number + 2).astype(np.int32), first[heads].astype(np.int32), lengths[heads].astype(np.int32), np.append(np.flatnonzero(fresh[other]), other.sum()).astype(np.int32), owner[other], list(label))
+
+
+def _pieces(text: bytes, window: int, most: int) -> Iterator[bytes]:
+    """``text``, or overlapping parts of it that hold ``most`` windows each."""
+    _, starts, ends, _ = word_bounds(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    for k in range(0, max(1, len(starts) - window + 1), most):
+        last = min(len(starts), k + most + window - 1)
+        yield text[starts[k] : ends[last - 1]] if last > k else b""
+
+
+def phrase_sets(benchmark: DataFrame, id_column: str = "item_id", text: str = "text", window: int = WINDOW, set_bytes: int = SET_BYTES, piece_windows: int = PIECE_WINDOWS) -> Iterator[PhraseSet]:
+    """The benchmark in sets of a checked size, one at a time."""
+    rows = benchmark.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(id_column).cast("string"), F.lit("null")).alias("name"), F.col(text).cast("binary").alias("text"))
+    held, size = [], 0
     for r in rows.toLocalIterator():
-        held.append((r["name"], r["text"]))
-        size += len(r["text"])
-        if size >= block_bytes:
-            sets.append(phrase_set(held, window))
-            held, size = [], 0
-    return sets + ([phrase_set(held, window)] if held else [])
+        for part in _pieces(bytes(r["text"]), window, piece_windows):
+            held.append((r["name"], part))
+            size += len(part) + 64
+            if size >= set_bytes:
+                yield phrase_set(held, window)
+                held, size = [], 0
+    if held:
+        yield phrase_set(held, window)
+
+
+class SharedSets:
+    """The sets as workers see them: one at a time in memory, the others on the executor's disk."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, set_bytes: int):
+        context = docs.sparkSession.sparkContext
+        self.shared: list[Broadcast] = [context.broadcast(s) for s in phrase_sets(benchmark, window=window, set_bytes=set_bytes)]
+
+    def __iter__(self) -> Iterator[PhraseSet]:
+        for b in self.shared:
+            yield b.value
+            if len(self.shared) > 1:
+                # what the worker holds of it goes; the next shard reads it anew
+                vars(b).pop("_value", None)
 
 
-def occurrences(known: np.ndarray, shortest: int, lengths_of: PhraseSet, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def occurrences(known: np.ndarray, phrases: PhraseSet, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, position of its first word) of all occurrences in a shard.
 
     ``known`` holds a word number for each word, 0 for words of no phrase;
@@ -203,7 +262,7 @@ def occurrences(known: np.ndarray, shortest: int, lengths_of: PhraseSet, rows: n
     stops = part.copy()
     run = np.cumsum(fresh) - 1
     sizes = np.bincount(run[~stops], minlength=len(starts))
-    long_ = sizes >= shortest
+    long_ = sizes >= phrases.lengths.min()
     if not long_.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     starts, sizes = starts[long_], sizes[long_]
@@ -214,8 +273,8 @@ def occurrences(known: np.ndarray, shortest: int, lengths_of: PhraseSet, rows: n
     inner = np.ones(ends[-1], bool)
     inner[ends - 1] = False
     text[inner] = known[origin[inner]]
-    index = FMIndex(text, len(lengths_of.vocabulary) + 1)
-    lo, hi = index.search(lengths_of.phrases, lengths_of.lengths)
+    index = FMIndex(text, len(phrases.vocabulary) + 1)
+    lo, hi = index.search(phrases.text, phrases.first, phrases.lengths)
     counts = hi - lo
     found = np.flatnonzero(counts)
     if not len(found):
@@ -226,7 +285,7 @@ def occurrences(known: np.ndarray, shortest: int, lengths_of: PhraseSet, rows: n
     return phrase, origin[places]
 
 
-def hit_words(sets: list[PhraseSet], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
+def hit_words(sets: Iterable[PhraseSet], data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
     """Starts and ends of a block's words, index of each row's first, whether a phrase covers each word, and the items of rows that are hit."""
     low, starts, ends, rows = word_bounds(data, offsets)
     hashes = span_hashes(low, starts, ends)
@@ -237,14 +296,14 @@ def hit_words(sets: list[PhraseSet], data: np.ndarray, offsets: np.ndarray) -> t
             continue
         at = np.minimum(np.searchsorted(s.vocabulary, hashes), len(s.vocabulary) - 1)
         known = np.where(s.vocabulary[at] == hashes, at + 2, 0)
-        phrase, first = occurrences(known, int(s.lengths.min()), s, rows)
+        phrase, first = occurrences(known, s, rows)
         owner = np.searchsorted(rows, first, side="right") - 1
         for p, f, d in zip(phrase.tolist(), first.tolist(), owner.tolist()):
-            words = s.words[p]
+            words = s.words(p)
             if all(low[starts[f + k] : ends[f + k]].tobytes() == w for k, w in enumerate(words)):
                 cover[f] += 1
                 cover[f + len(words)] -= 1
-                items.setdefault(d, set()).update(s.items[p])
+                items.setdefault(d, set()).update(s.names[k] for k in s.owners[s.owner_at[p] : s.owner_at[p + 1]])
     hit = np.cumsum(cover[:-1]) > 0
     return starts, ends, rows, hit, items
 
@@ -259,14 +318,14 @@ def hit_counts(rows: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarra
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<first_word:int,last_word:int,first_byte:int,end_byte:int>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, set_bytes: int = SET_BYTES) -> DataFrame:
     """Per row of ``docs``: words, words hit, items found, and merged spans of hit words with their UTF-8 bytes."""
-    sets = [docs.sparkSession.sparkContext.broadcast(s) for s in phrase_sets(benchmark, window=window)]
+    sets = SharedSets(docs, benchmark, window, set_bytes)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first_word", "last_word", "first_byte", "end_byte")])))])
         for block, data, offsets in blocks_of(batches, limit=shard_bytes):
-            starts, ends, rows, hit, items = hit_words([b.value for b in sets], data, offsets)
+            starts, ends, rows, hit, items = hit_words(sets, data, offsets)
             n_words, n_hit, contaminated = hit_counts(rows, hit)
             names = [sorted(items.get(d, ())) for d in range(len(n_words))]
             spans: list[list[dict]] = [[] for _ in names]
@@ -291,13 +350,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: s
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, set_bytes: int = SET_BYTES) -> DataFrame:
     """The rows of ``docs`` that ``scan`` doesn't call contaminated, unchanged; ids play no part."""
-    sets = [docs.sparkSession.sparkContext.broadcast(s) for s in phrase_sets(benchmark, window=window)]
+    sets = SharedSets(docs, benchmark, window, set_bytes)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in blocks_of(batches, text=text, limit=shard_bytes):
-            _, _, rows, hit, _ = hit_words([b.value for b in sets], data, offsets)
+            _, _, rows, hit, _ = hit_words(sets, data, offsets)
             yield block.filter(pa.array(~hit_counts(rows, hit)[2]))
 
     return docs.mapInArrow(kernel, docs.schema)
