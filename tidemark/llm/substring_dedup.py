@@ -8,14 +8,18 @@ least of those of the ``reach`` word ends before and after it: the choice
 depends on nearby text alone, so an insertion shifts no later boundary. Equal
 least hashes all end chunks, so a word that is repeated over and over is cut
 too, and equal neighbours are then one chunk; other chunks have more than
-``reach`` words. Chunks are joined by digest. A chunk
-repeats if a document with a smaller id holds its digest; a run of adjacent
-repeating chunks of at least ``min_words`` words is a repeated span. The
+``reach`` words. What is joined by digest is a unit: two neighbouring chunks, so that a
+run of units stands as it is in earlier text, or one chunk that alone has ``min_words``.
+A unit repeats if a document with a smaller id holds its digest; a run of overlapping
+repeating units of at least ``min_words`` words is a repeated span. The
 first holder keeps its text, and repeats inside one document alone stay.
 
 Null and empty texts have no chunks. Rows that repeat a doc_id are one document
-and don't repeat each other; a null doc_id comes after all others. An empty
-table gives no rows. ``remove_repeats`` keeps all rows and columns.
+and don't repeat each other; a null doc_id comes after all others. Rows are told apart
+by id and a 64-bit hash of the text, so a row without an id is cut where its own text
+repeats, and equal rows alike. Ids are integers, or text that reads as such; other text
+is an error. An empty table gives no rows. ``remove_repeats`` keeps all rows and columns,
+and bytes that are no UTF-8 as they are.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import join_side, settle
-from tidemark.llm.textbytes import blocks_of, mix64, word_bounds
+from tidemark.llm.runtime import settle, written
+from tidemark.llm.textbytes import blocks_of, mix64, string_column, word_bounds
 
-#: Documents with cuts, a few dozen bytes a cut, that the join with the texts may broadcast.
-CUT_ROWS = 100_000
+#: Cuts, a few dozen bytes each, that the join with the texts may broadcast.
+BROADCAST_CUTS = 200_000
 REACH = 3
 #: Bytes that a 16-bit gear hash sees.
 WINDOW = 16
@@ -114,76 +118,126 @@ def merge_equal(starts: np.ndarray, ends: np.ndarray, words: np.ndarray, row: np
     return starts[at], ends[last], total, row[at], np.where(long_, mix64(digests[at].view(np.uint64)).view(np.int64), digests[at])
 
 
-def chunks(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, first, last, words, digest); text_key tells apart texts under one id."""
+def chunk_table(block: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, reach: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """(row, first, last, words, digest) of a block's chunks; first and last are bytes of the text."""
+    digest = xxhash.xxh3_64_intdigest
+    low, squeezed, place = squeeze(data, offsets)
+    starts, ends, words, row = chunk_bounds(low, squeezed, reach)
+    raw = low.tobytes()
+    # without the space that ends it, as a text's last chunk has none
+    digests = np.array([digest(raw[s:e].rstrip(b" ")) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
+    starts, ends, words, row, digests = merge_equal(starts, ends, words, row, digests, min_words)
+    # back to bytes of the text: a cut is after the first white-space byte, a row's outer white space is with its outer chunks
+    head, tail = starts == squeezed[row], ends == squeezed[row + 1]
+    starts, ends = np.where(head, offsets[row], place[starts - 1] + 1), np.where(tail, offsets[row + 1], place[ends - 1] + 1)
+    return row, starts - offsets[row], ends - offsets[row], words, digests
+
+
+def _two(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two numbers of 31 bits as one."""
+    return (high.astype(np.int64) << 32) | low.astype(np.int64)
+
+
+def units(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, at, bytes, words, digest) of all units.
+
+    ``at`` holds the unit's first and last chunk, ``bytes`` its first byte and the
+    end, ``words`` the text's words before it and up to its end, two numbers in
+    one long each.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for block, data, offsets in blocks_of(batches, limit=2_000_000):
-            low, squeezed, place = squeeze(data, offsets)
-            starts, ends, words, row = chunk_bounds(low, squeezed, reach)
-            raw = low.tobytes()
-            # without the space that ends it, as a text's last chunk has none
-            digests = np.array([digest(raw[s:e].rstrip(b" ")) for s, e in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
-            starts, ends, words, row, digests = merge_equal(starts, ends, words, row, digests, min_words)
-            # back to bytes of the text: a cut is after the first white-space byte, a row's outer white space is with its outer chunks
-            head, tail = starts == squeezed[row], ends == squeezed[row + 1]
-            starts, ends = np.where(head, offsets[row], place[starts - 1] + 1), np.where(tail, offsets[row + 1], place[ends - 1] + 1)
-            source, at = data.tobytes(), offsets.tolist()
-            keys = np.array([xxhash.xxh32_intdigest(source[s:e]) for s, e in zip(at, at[1:])], np.uint32).view(np.int32)
-            base = offsets[row]
-            yield pa.RecordBatch.from_arrays([block.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(digests)], ["doc_id", "text_key", "first", "last", "words", "digest"])
-
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, "doc_id long, text_key int, first int, last int, words int, digest long")
+            row, first, last, words, digests = chunk_table(block, data, offsets, reach, min_words)
+            head = np.searchsorted(row, row)
+            number = np.arange(len(row)) - head
+            total = np.concatenate([[0], np.cumsum(words)])
+            before, through = total[:-1] - total[head], total[1:] - total[head]
+            d = digests.view(np.uint64)
+            pair = np.flatnonzero(row[1:] == row[:-1])
+            alone = np.flatnonzero(words >= min_words)
+            a, b = np.concatenate([pair, alone]), np.concatenate([pair + 1, alone])
+            key = np.concatenate([mix64(mix64(d[pair]) * np.uint64(3) + d[pair + 1]), mix64(d[alone] + np.uint64(1))]).view(np.int64)
+            own = pa.array(row[a])
+            yield pa.RecordBatch.from_arrays([block.column(0).take(own), block.column(2).take(own), *map(pa.array, (_two(number[a], number[b]), _two(first[a], last[b]), _two(before[a], through[b]), key))], ["doc_id", "text_key", "at", "bytes", "words", "digest"])
+
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(kernel, "doc_id long, text_key long, at long, bytes long, words long, digest long")
+
+
+def runs_of(found: list[dict], min_words: int) -> list[dict]:
+    """The repeated spans of one text from its repeating units."""
+    out, reached = [], -1
+    for u in sorted(found, key=lambda u: u["at"]):
+        i, j = u["at"] >> 32, u["at"] & 0xFFFFFFFF
+        span = {"first_byte": u["bytes"] >> 32, "end_byte": u["bytes"] & 0xFFFFFFFF, "from": u["words"] >> 32, "to": u["words"] & 0xFFFFFFFF, "i": i, "j": j, "kept": {u["kept"]}}
+        if out and i <= reached:
+            last = out[-1]
+            last["kept"] |= span["kept"]
+            if j > last["j"]:
+                last["end_byte"], last["to"], last["j"] = span["end_byte"], span["to"], j
+        else:
+            out.append(span)
+        reached = out[-1]["j"]
+    return [{"first_byte": s["first_byte"], "end_byte": s["end_byte"], "n_words": s["to"] - s["from"], "n_chunks": s["j"] - s["i"] + 1, "kept_doc_ids": sorted(s["kept"])} for s in out if s["to"] - s["from"] >= min_words]
+
+
+_SPAN = "array<struct<first_byte:int,end_byte:int,n_words:int,n_chunks:int,kept_doc_ids:array<long>>>"
+
+
+def spans_by_text(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_key, spans): one row for each text that holds repeated spans."""
+    pieces = written(units(docs, text, id_column, reach, min_words), "chunks")
+    # settled, so that the join below deals both sides anew and may split the rows of a hot digest
+    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("top"), F.bool_or(F.col("doc_id").isNull()).alias("bare")).filter("kept < top or (bare and kept is not null)").select("digest", "kept")
+    repeats = pieces.join(settle(shared), "digest").filter("doc_id is null or doc_id > kept")
+    # equal rows are one as early as in the task that reads them; what a text gathers is its own units
+    gathered = repeats.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "bytes", "words", "kept")).alias("units"))
+    kind = pa.list_(pa.struct([*((n, pa.int32()) for n in ("first_byte", "end_byte", "n_words", "n_chunks")), ("kept_doc_ids", pa.list_(pa.int64()))]))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                spans = pa.array([runs_of(u, min_words) for u in some.column(2).to_pylist()], kind)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), spans], ["doc_id", "text_key", "spans"])
+
+    return gathered.mapInArrow(kernel, f"doc_id long, text_key long, spans {_SPAN}").filter(F.size("spans") > 0)
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", id_column: str = "doc_id", reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_key, first_byte, end_byte, n_words, n_chunks, kept_doc_ids) of each repeated span.
 
-    kept_doc_ids: the distinct first holders of its chunks, sorted; at most as
-    many as the span has chunks.
+    kept_doc_ids: the distinct first holders of its units, sorted; at most as
+    many as the span has units.
     """
-    pieces = chunks(docs, text, id_column, reach, min_words)
-    # settled, so that the join below deals both sides anew and may split the rows of a hot digest
-    shared = pieces.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("top"), F.bool_or(F.col("doc_id").isNull()).alias("bare")).filter("kept < top or (bare and kept is not null)").select("digest", "kept")
-    shared = settle(shared)
-    repeats = pieces.join(shared, "digest").filter("doc_id is null or doc_id > kept").select("doc_id", "text_key", "first", "last", "words", "kept").distinct()
-    per_text = Window.partitionBy("doc_id", "text_key").orderBy("first")
-    runs = repeats.withColumn("fresh", F.coalesce((F.col("first") != F.lag("last").over(per_text)).cast("int"), F.lit(1))).withColumn("run", F.sum("fresh").over(per_text))
-    spans = runs.groupBy("doc_id", "text_key", "run").agg(F.min("first").alias("first_byte"), F.max("last").alias("end_byte"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"))
-    return spans.filter(F.col("n_words") >= min_words).drop("run")
+    return spans_by_text(docs, text, id_column, reach, min_words).select("doc_id", "text_key", F.explode("spans").alias("s")).select("doc_id", "text_key", "s.*")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", chars: str | None = None, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated spans cut from ``text``; ``chars``, if named, gets the new length in characters."""
-    spans = repeated_spans(docs, text, id_column, reach, min_words).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("cuts"))
-    cuts = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("text_key", "cuts")).alias("__cuts"))
-    joined = docs.join(join_side(cuts, CUT_ROWS), F.col(id_column).eqNullSafe(F.col("__id")), "left")
+    cuts = settle(spans_by_text(docs, text, id_column, reach, min_words).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.transform("spans", lambda s: F.struct(s["first_byte"].alias("first_byte"), s["end_byte"].alias("end_byte"))).alias("__cuts")))
+    few = (cuts.agg(F.sum(F.size("__cuts") + 1)).first()[0] or 0) <= BROADCAST_CUTS
+    same = F.col(id_column).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
+    joined = docs.join(F.broadcast(cuts) if few else cuts, same, "left")
+    names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in blocks_of(batches, text=text, limit=2_000_000):
-            raw, at = data.tobytes(), offsets.tolist()
             found = block.column(block.schema.get_field_index("__cuts")).to_pylist()
             if not any(found):
                 yield block.select(names)
                 continue
             column = block.schema.get_field_index(text)
-            texts = block.column(column).to_pylist()
-            for k, options in enumerate(found):
-                if not options:
-                    continue
-                source = raw[at[k] : at[k + 1]]
-                key = int(np.array([xxhash.xxh32_intdigest(source)], np.uint32).view(np.int32)[0])
-                for option in options:
-                    if option["text_key"] == key:
-                        place, parts = 0, []
-                        for c in option["cuts"]:
-                            parts.append(source[place : c["first_byte"]])
-                            place = c["end_byte"]
-                        texts[k] = b"".join([*parts, source[place:]]).decode()
-            out = block.set_column(column, block.schema.field(column), pa.array(texts, block.schema.field(column).type))
+            raw, at, missing = data.tobytes(), offsets.tolist(), block.column(column).is_null().to_pylist()
+            texts: list[bytes | None] = []
+            for k, cut in enumerate(found):
+                source, place, parts = raw[at[k] : at[k + 1]], 0, []
+                for c in cut or ():
+                    parts.append(source[place : c["first_byte"]])
+                    place = c["end_byte"]
+                texts.append(None if missing[k] else b"".join([*parts, source[place:]]))
+            out = block.set_column(column, block.schema.field(column), string_column(texts, block.schema.field(column).type))
             yield out.select(names)
 
-    names = docs.columns
-    out = joined.select(*names, "__cuts").mapInArrow(kernel, docs.schema)
+    out = joined.select(*[F.col(f"`{n}`") for n in names], "__cuts").mapInArrow(kernel, docs.schema)
     return out.withColumn(chars, F.char_length(text).cast(docs.schema[chars].dataType)) if chars else out
