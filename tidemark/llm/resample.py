@@ -7,15 +7,17 @@ bucket shares of the target text (labelled good) and of all raw text, give each
 document the log weight sum(count * log(target / raw)). Documents are drawn
 without replacement, in proportion to their weights, by Gumbel top-k: the k
 greatest of log weight / temperature + Gumbel noise, the noise from a hash of
-the id. The target model is fitted on at most ``MAX_TARGET`` labelled documents, the
+the id, the text and, for rows that agree in both, their number. The target model is fitted on at most ``MAX_TARGET`` labelled documents, the
 raw one on all; what the driver gets is 2 * BUCKETS
 numbers, whatever the input.
 
 The weight is taken per n-gram (``temperature`` per unit) so that long texts
-neither win nor lose by length. Null and empty texts have log weight 0. Ties
-of the key go to the smaller id, then all equal rows are kept or dropped alike
-only as k allows. No labelled target gives log weight 0 for all, a uniform draw.
-A null id takes part like any other. Columns besides the named ones are not read.
+neither win nor lose by length; ``temperature=None`` takes the document's whole
+ratio. Null and empty texts have log weight 0. Rows without an id, and repeated
+rows, each have noise of their own. Should keys tie at the last place all the same,
+as many of them are kept as there is room. No labelled target gives log weight 0 for
+all, a uniform draw. Ids are integers, or text that reads as such; other text is an
+error. Columns besides the named ones are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import settle
+from tidemark.llm.runtime import join_side, numbered, settle
 from tidemark.llm.textbytes import blocks_of, mix64, span_hashes
 
 BUCKETS = 10_000
@@ -89,8 +91,8 @@ def log_ratios(good: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.log((good + 1) / (good.sum() + len(good))) - np.log((total + 1) / (total.sum() + len(total)))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text: str = "text", temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_grams, log_weight, sample_key) of every row."""
+def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """(doc_id, n_grams, log_weight, row_key) of every row; row_key is a hash of seed, id and text."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,13 +102,33 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text:
             n = len(offsets) - 1
             count = np.bincount(row, minlength=n)
             total = np.bincount(row, weights=r[bucket], minlength=n)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64))], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64)), block.column(2)], ["doc_id", "n_grams", "log_weight", "row_key"])
 
-    out = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(kernel, "doc_id long, n_grams long, log_weight double")
-    # 53 bits of a hash as a number inside (0, 1)
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    mean = F.col("log_weight") / F.greatest("n_grams", F.lit(1))
-    return out.withColumn("sample_key", mean / temperature - F.log(-F.log(uniform)))
+    number = F.col(id_column).cast("long")
+    key = F.xxhash64(F.lit(seed), number.isNull(), number, F.col(text).isNull(), text)
+    return docs.select(number.alias("doc_id"), F.col(text).alias("text"), key.alias("row_key")).mapInArrow(kernel, "doc_id long, n_grams long, log_weight double, row_key long")
+
+
+def _with_occurrence(rows: DataFrame) -> DataFrame:
+    """Settled ``rows`` with ``occurrence``: 0 for a row_key of its own, else the row's number among its equals."""
+    repeated = join_side(rows.groupBy("row_key").agg(F.count("*").alias("m")).filter("m > 1").select("row_key"))
+    if repeated.isEmpty():
+        return rows.withColumn("occurrence", F.lit(0).cast("long"))
+    # the filter keeps a settled table's partitions, as its join is by broadcast or its result settled
+    again = settle(rows.join(repeated, "row_key", "left_semi"))
+    return rows.join(repeated, "row_key", "left_anti").withColumn("occurrence", F.lit(0).cast("long")).unionByName(numbered(again, ["row_key"], ["row_key"], "occurrence"))
+
+
+def gumbel(*key: str) -> Column:
+    """Standard Gumbel noise from a hash of the columns, 53 bits of it as a number inside (0, 1)."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(uniform))
+
+
+def sample_keys(weighed: DataFrame, temperature: float | None = TEMPERATURE) -> DataFrame:
+    """Settled ``weighed`` rows with their ``sample_key``."""
+    weight = F.col("log_weight") if temperature is None else F.col("log_weight") / F.greatest("n_grams", F.lit(1)) / temperature
+    return _with_occurrence(weighed).withColumn("sample_key", weight + gumbel("row_key", "occurrence")).drop("row_key", "occurrence")
 
 
 def _kth_key(keys: DataFrame, k: int) -> tuple[float, int]:
@@ -127,16 +149,18 @@ def _kth_key(keys: DataFrame, k: int) -> tuple[float, int]:
     return low, need
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, id_column: str = "doc_id", text: str = "text", label: str = "quality", temperature: float = TEMPERATURE, seed: int = SEED, max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, id_column: str = "doc_id", text: str = "text", label: str = "quality", temperature: float | None = TEMPERATURE, seed: int = SEED, max_target: int = MAX_TARGET) -> DataFrame:
     """(doc_id, n_grams, log_weight, sample_key, kept) of every row; kept for ceil(fraction * rows) of them."""
     good = labels.filter((F.col(label) == 1) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(max_target)
-    weighed = settle(weigh(docs, log_ratios(*bucket_counts(docs, good, id_column, text)), id_column, text, temperature, seed))
-    rows = weighed.count()
+    weighed = settle(weigh(docs, log_ratios(*bucket_counts(docs, good, id_column, text)), id_column, text, seed))
+    keyed = settle(sample_keys(weighed, temperature))
+    rows = keyed.count()
     k = -(-rows * round(fraction * 10**6) // 10**6)
     if not k:
-        return weighed.withColumn("kept", F.lit(False))
-    key, room = _kth_key(weighed.select(F.col("sample_key").alias("key")), k)
-    # only the rows that tie with the k-th key are ranked
-    tie = weighed.filter(F.col("sample_key") == key).withColumn("kept", F.row_number().over(Window.orderBy("doc_id")) <= room)
-    rest = weighed.filter(F.col("sample_key") != key).withColumn("kept", F.col("sample_key") > key)
-    return rest.unionByName(tie)
+        return keyed.withColumn("kept", F.lit(False))
+    key, room = _kth_key(keyed.select(F.col("sample_key").alias("key")), k)
+    tied = F.col("sample_key") == key
+    if keyed.filter(tied).count() == room:
+        return keyed.withColumn("kept", F.col("sample_key") >= key)
+    tie = numbered(settle(keyed.filter(tied)), [], ["doc_id"], "place").withColumn("kept", F.col("place") < room).drop("place")
+    return keyed.filter(~tied).withColumn("kept", F.col("sample_key") > key).unionByName(tie)
