@@ -14,7 +14,11 @@ another and are not expanded. A vector that is null, empty, zero, or holds null
 or non-finite components, and one without label, links with nothing, nor do
 vectors of different length. A row with a null id links with nothing and has a
 null component; rows that share an id are one node but count as several
-vectors. An empty table gives no rows.
+vectors. Ids are integers, or text that reads as such; other text is an error.
+Labels may have any type that can be sorted. An empty table gives no rows.
+
+A bucket's members travel with their vector and codes, in the width that the
+table's components and the codes need; members that share no bucket don't travel.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.buckets import Forest, by_group, crowded, grouped, pair_blocks
 from tidemark.llm.components import connected_components
-from tidemark.llm.runtime import settle
+from tidemark.llm.runtime import join_classes, settle
 
 THRESHOLD = 0.93
 TABLES = 12
@@ -90,31 +95,39 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", embedding: str = "embedding", label: str = "label", tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; see the module's head."""
     probes = min(probes, 2**hashes)
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    given = vectors.schema[embedding].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    number = "float" if single else "double"
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast(f"array<{number}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", valid)
-    classes = settle(rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("class", F.monotonically_increasing_id()).withColumn("d", F.size("v")))
+    # -0.0 and 0.0 are one value to a grouping; kernels see one of them, and cosines can't tell
+    distinct = rows.filter("usable").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("class", F.monotonically_increasing_id()).withColumn("d", F.size("v")).select("class", "label", "v", "rep", "size", "d")
 
     def hash_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = batch.column(2).to_numpy()
+            d = batch.column(5).to_numpy()
             for length in np.unique(d).tolist():
                 some = batch.filter(pa.array(d == length)) if (d != length).any() else batch
                 for k in range(0, some.num_rows, 2048):
                     part = some.slice(k, 2048)
-                    x = _matrix(part.column(1), length)
+                    x = _matrix(part.column(2), length)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     codes = bucket_codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, probes)
                     n, per = len(x), tables * probes
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(np.arange(0, n * per + 1, per, dtype=np.int32), codes.ravel())], ["class", "codes"])
-
-    codes = settle(classes.select("class", "v", "d").mapInArrow(hash_kernel, "class long, codes array<long>"))
-    places = codes.join(classes.select("class", "label", "d"), "class").select("class", "label", "d", F.posexplode("codes").alias("at", "code"))
+                    yield part.append_column("codes", pa.ListArray.from_arrays(np.arange(0, n * per + 1, per, dtype=np.int32), codes.ravel()))
+
+    schema = T.StructType([*distinct.schema.fields, T.StructField("codes", T.ArrayType(T.LongType()))])
+    hashed = distinct.mapInArrow(hash_kernel, schema)
+    longest = rows.filter("usable").agg(F.max(F.size("v"))).first()[0] or 1
+    narrow = (2 << max(1, (longest - 1).bit_length())) ** hashes <= 1 << 31
+    classes = settle(hashed.withColumn("codes", F.col("codes").cast("array<int>")) if narrow else hashed)
+    places = classes.select("class", "label", "d", F.posexplode("codes").alias("at", "code"))
     entries = places.select(F.struct("label", "d", F.floor(F.col("at") / probes).cast("int").alias("t"), "code").alias("bucket"), F.col("class").alias("member"))
-    held = crowded(entries).select(F.xxhash64("bucket.label").alias("label_key"), F.col("bucket.d").alias("d"), F.col("bucket.t").alias("t"), F.col("bucket.code").alias("code"), "part", "part_a", "part_b", F.col("member").alias("class"))
-    held = held.join(classes.select("class", "rep", "size", "v"), "class").join(codes, "class").select("label_key", "d", "t", "code", "part", "part_a", "part_b", "class", "rep", "size", "v", "codes")
-    group = ["label_key", "d", "t", "code", "part_a", "part_b"]
+    held = crowded(entries).select(F.col("bucket.label").alias("label"), F.col("bucket.d").alias("d"), F.col("bucket.t").alias("t"), F.col("bucket.code").alias("code"), "part", "part_a", "part_b", F.col("member").alias("class"))
+    held = held.join(classes.select("class", "rep", "size", "v", "codes"), "class").select("label", "d", "t", "code", "part", "part_a", "part_b", "class", "rep", "size", "v", "codes")
+    group = ["label", "d", "t", "code", "part_a", "part_b"]
 
     def link_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in grouped(batches, group):
@@ -127,7 +140,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
             begin = np.concatenate([[0], np.cumsum(d)])
             for length in np.unique(d).tolist():
                 own = np.flatnonzero(d == length)
-                x = flat[(begin[own][:, None] + np.arange(length)[None, :])]
+                x = flat[(begin[own][:, None] + np.arange(length)[None, :])].astype(np.float64)
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 norm = np.sqrt((x * x).sum(axis=1))
                 heads = at[d[at] == length]
@@ -146,7 +159,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
                         first &= ~met | (k >= table[i])
                         here = (table[i] == k) & met
                         if here.any():
-                            least = np.where(shared.any(axis=2), mine[i, k], np.iinfo(np.int64).max).min(axis=1)
+                            least = np.where(shared.any(axis=2), mine[i, k], np.iinfo(mine.dtype).max).min(axis=1)
                             first &= ~here | (least == code[i])
                     np.add.at(links, i[first], size[j[first]])
                     np.add.at(links, j[first], size[i[first]])
@@ -158,7 +171,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     found = settle(by_group(held, group, link_kernel, "a long, b long, is_link boolean"))
     component = connected_components(found.filter("is_link").select("a", "b"))
     counts = found.filter("not is_link").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("others"))
-    names = classes.join(counts, "class", "left").join(component, classes.rep == component.node, "left").select("label", "v", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = rows.filter("usable").join(names, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    names = classes.join(counts, "class", "left").join(component, classes.rep == component.node, "left").select("label", "v", "size", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    good = join_classes(rows.filter("usable"), settle(names), ["label", "v"], "size").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
