@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,20 @@ def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], size: str,
     return rows.join(large.drop(size), on).unionByName(rows.join(large.select(*on), on, "left_anti").join(classes.filter(F.col(size) <= hot).drop(size), on))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Settled ``rows`` with a gapless number from 0 in each group of ``by`` (without nulls), as the long ``name``.
+
+    Rows are counted by group and partition, and numbered in each partition from
+    where those before it end: no task sees more than one partition's rows of a
+    group, however many the group has. Within a partition the order is ``order``.
+    """
+    at = rows.withColumn("__p", F.spark_partition_id())
+    sizes = at.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    begins = sizes.withColumn("__begin", F.sum("__n").over(Window.partitionBy(*by).orderBy("__p")) - F.col("__n")).drop("__n")
+    own = at.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__p").orderBy(*order)))
+    return own.join(begins, [*by, "__p"]).withColumn(name, (F.col("__begin") + F.col("__k") - 1).cast("long")).drop("__p", "__k", "__begin")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

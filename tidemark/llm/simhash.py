@@ -10,7 +10,8 @@ Null and empty texts, and texts without a word, have fingerprint zero and link
 like any other. Repeated rows are separate rows of one group. A row with a null
 doc_id gets the component of its fingerprint and offers it no id; if none of
 a fingerprint's rows has an id, its component is null and it links to no other.
-An empty table gives no rows. Columns besides the two named are left out of the
+An empty table gives no rows. Ids are integers, or text that reads as such; other
+text is an error. Columns besides the two named are left out of the
 fingerprints, and kept by ``keep_representatives``.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.buckets import Forest, by_group, crowded, grouped, pair_blocks
 from tidemark.llm.components import connected_components
-from tidemark.llm.runtime import join_side, settle
+from tidemark.llm.runtime import join_classes, join_side, settle
 from tidemark.llm.textbytes import blocks_of, word_bounds
 
 SHINGLE_WORDS = 4
@@ -138,12 +139,12 @@ def close_links(classes: DataFrame, blocks: int, max_bits: int = MAX_BITS) -> Da
 def near_duplicate_components(docs: DataFrame, text: str = "text", id_column: str = "doc_id", max_bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; see the module's head."""
     prints = settle(fingerprints(docs, text, id_column))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    known = classes.filter("rep is not null")
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    known = classes.filter("rep is not null").select("fp", "rep")
     edges = close_links(known, blocks or enough_blocks(known.count(), max_bits), max_bits)
     component = connected_components(edges)
-    names = classes.join(component, classes.rep == component.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = classes.join(component, classes.rep == component.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_classes(prints, settle(names), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def first_of_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
