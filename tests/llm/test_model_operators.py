@@ -191,7 +191,7 @@ def test_resampling_weights_are_the_ratio_of_the_counts(spark):
 
 
 def test_gumbel_keys_draw_in_proportion(spark):
-    key = resample.weigh(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), np.zeros(resample.BUCKETS))
+    key = resample.sample_keys(resample.weigh(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), np.zeros(resample.BUCKETS)))
     v = np.array([r["sample_key"] for r in key.collect()])
     assert abs(v.mean() - 0.5772) < 0.03 and abs(v.std() - 1.2825) < 0.04
 
