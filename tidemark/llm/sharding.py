@@ -74,9 +74,9 @@ def with_axes(atoms: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
     for r in atoms.select("weight", sides.alias("s")).groupBy("s.d", "s.c").agg(F.sum("weight").alias("w")).collect():
         weights.setdefault(r["d"], {})[r["c"]] = r["w"]
     places, before = axes(weights)
-    # a constant array, read by position
+    # a constant array, read by position; settled, as each level of the tree reads the places many times
     x = {f"x_{d}": F.element_at(F.split(F.lit(",".join(map(str, places[d]))), ",").cast("array<int>"), F.col(f"c_{d}") + 1) for d in DIMENSIONS}
-    return atoms.withColumns(x), before
+    return settle(atoms.select("text_key", "n", "weight", "tie", *[c.alias(k) for k, c in x.items()])), before
 
 
 @dataclass
