@@ -216,6 +216,41 @@ def test_licenses(spark, corpus, sf_dir):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def plain_licenses(text, templates, accept=licenses.ACCEPT):
+    """Every phrase compared at every word."""
+    w = words_of(text)
+    places = {p: [s for s in range(len(w)) if w[s : s + len(p.split())] == p.split()] for p in licenses.phrases(templates)}
+    base = [s for p in licenses.BASE_PHRASES for s in places[p]]
+    names = {v for p, v in licenses.BASE_PHRASES.items() if places[p]}
+    share = lambda t, s: sum(0 <= s - t.key_at + k < len(w) and w[s - t.key_at + k] == x for k, x in enumerate(t.words)) / len(t.words)
+    best = [(max((share(t, s) for s in places[t.key]), default=0.0), t.label) for t in templates]
+    return len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(names)), ",".join(sorted(names | {n for x, n in best if x >= accept})), max(best)[0]
+
+
+def test_licenses_against_every_place_and_many_templates(spark, corpus):
+    rng = random.Random(61)
+    texts = [r["text"] for r in corpus.limit(60).collect()] + ODD
+    for t in licenses.TEMPLATES:
+        w = t.text.split()
+        texts.append(" ".join([passage(rng, 5), *w, passage(rng, 3)]))
+        texts.append(", ".join([x.upper() if rng.random() < 0.5 else x for x in w[rng.randint(0, 3) :]]))
+        texts.append(" ".join([*w, *w[::-1], *w, t.key, t.key]))
+    many = licenses.TEMPLATES + [licenses.Template(f"own-{k}", f"own {passage(rng, 2)} licence {k % 50}", "") for k in range(170)]
+    many = [t if t.text else licenses.Template(t.label, t.key, f"under the {t.key} as published {passage(rng, 20)}") for t in many]
+    texts += [f"{passage(rng, 9)} {t.text} {passage(rng, 3)}" for t in many[-40:]]
+    df = docs_of(spark, texts).withColumn("labels", F.lit("clash")).withColumn("n_words", F.lit(1))
+    for templates in (licenses.TEMPLATES, many):
+        got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(df, templates=templates).collect()}
+        want = {k: plain_licenses(t, templates) for k, t in enumerate(texts)}
+        assert {k: v[:6] for k, v in got.items()} == {k: v[:6] for k, v in want.items()}
+        assert all(abs(got[k][6] - want[k][6]) < 1e-12 for k in want)
+
+
+def test_the_license_index_is_folded_to_constants(spark, corpus):
+    plan = licenses.scan(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "Python" not in plan
+
+
 def passage(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
