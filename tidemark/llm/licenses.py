@@ -91,8 +91,9 @@ ACCEPT = 0.8
 #: Words of a key phrase whose postings must agree.
 RARE = 2
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII characters that are in no word.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 #: A candidate is the number of its phrase and its start in one long.
 _PHRASE = 1 << 32
 
@@ -103,7 +104,9 @@ def phrases(templates: list[Template] = TEMPLATES) -> list[str]:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words in lower case, split at single spaces, for which no pattern is run."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", templates: list[Template] = TEMPLATES) -> dict[str, int]:
