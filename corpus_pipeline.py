@@ -1,8 +1,11 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Every stage reads the table ``docs`` and returns a DataFrame; ``run`` writes each
-result as Parquet in the shared folder and reads it again. All but the last keep
-the columns of ``documents``.
+result as Parquet in the shared folder, reads it again, and deletes it once the next
+one is written; the last stays. All but the last keep the columns of ``documents``.
+
+What a stage does with nulls, empty and long texts, repeated rows and empty tables is
+said at the head of its operator's module; other columns travel along unread.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, simhash, substring_dedup, toxicity
 from tidemark.llm.queries import TOKENIZER, fold
-from tidemark.llm.runtime import ensure_checkpoint_dir, ship, table
+from tidemark.llm.runtime import ensure_checkpoint_dir, remove_folder, ship, table
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +65,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs

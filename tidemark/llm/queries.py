@@ -114,7 +114,8 @@ QUERIES = {
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 
-#: The others are held against brute-force versions in the tests.
+#: Training, sampling, tokenizing, chunking and trees are not SQL; tests/llm holds each of them against a plain version: the
+#: scorer, the chunk join, the whole draw, the tree over lists, the tokenizer's library, all pairs of fingerprints.
 ORACLE_SQL = {
     "op2_embedding_near_dedup": _OP2_SQL,
     "op4_decontamination": _OP4_SQL,

@@ -100,6 +100,12 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> Dat
     return own.join(begins, [*by, "__p"]).withColumn(name, (F.col("__begin") + F.col("__k") - 1).cast("long")).drop("__p", "__k", "__begin")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark's writers made, wherever they reach."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
