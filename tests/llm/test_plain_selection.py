@@ -110,6 +110,7 @@ def test_a_hot_class_of_each_operator(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
     found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_components(docs).collect()}
     assert len(found) == 60 and all(found[k] == 1 for k in range(60) if k % 3)
+    assert sorted(r["doc_id"] for r in simhash.keep_representatives(docs).collect()) == [k for k in range(60) if k % 3 == 0 or k == 1]
     shards = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, 4).collect()}
     assert len(shards) == 60 and len({shards[k] for k in range(60) if k % 3}) == 1
     vectors = spark.createDataFrame([(k, [1.0, 2.0] if k % 3 else [float(k), -1.0], "a" if k < 30 else "b") for k in range(60)], "vec_id long, embedding array<double>, label string")

@@ -148,16 +148,16 @@ def near_duplicate_components(docs: DataFrame, text: str = "text", id_column: st
 
 
 def first_of_groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, first_id, first_fp) for every fingerprint that a row with an id has: the least (doc_id, fp) of its group.
+    """(fp, n, first_id, first_fp) for every fingerprint that a row with an id has: its rows with one, and the least (doc_id, fp) of its group.
 
     Fingerprints are the nodes, so texts that share an id link no groups.
     """
-    known = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    known = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("n")).filter("rep is not null"))
     component = connected_components(close_links(known.select("fp", F.col("fp").alias("rep")), enough_blocks(known.count(), max_bits), max_bits))
     linked = known.join(component, known.fp == component.node).groupBy("component").agg(F.min(F.struct("rep", "fp")).alias("first"))
     named = component.join(linked, "component").select("node", "first")
     first = F.coalesce("first", F.struct("rep", "fp"))
-    return known.join(named, known.fp == named.node, "left").select("fp", first["rep"].alias("first_id"), first["fp"].alias("first_fp"))
+    return known.join(named, known.fp == named.node, "left").select("fp", "n", first["rep"].alias("first_id"), first["fp"].alias("first_fp"))
 
 
 def keep_representatives(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -169,7 +169,7 @@ def keep_representatives(docs: DataFrame, text: str = "text", id_column: str = "
     """
     prints = settle(fingerprints(docs, text, id_column))
     known = prints.filter("doc_id is not null")
-    judged = settle(known.join(first_of_groups(prints), "fp").select("doc_id", "fp", (F.struct("doc_id", "fp") == F.struct("first_id", "first_fp")).alias("stays")))
+    judged = settle(join_classes(known, settle(first_of_groups(prints)), ["fp"], "n").select("doc_id", "fp", (F.struct("doc_id", "fp") == F.struct("first_id", "first_fp")).alias("stays")))
     per_id = settle(judged.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays")))
     apart = join_side(per_id.filter("n > 1 or not stays").select(F.col("doc_id").alias("__apart")))
     kept = docs.filter(F.col(id_column).isNotNull()).join(apart, F.col(id_column) == F.col("__apart"), "left_anti")
