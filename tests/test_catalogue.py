@@ -38,6 +38,7 @@ def test_query(spark, sf_dir, duck, name):
         assert len(found) > 0
         return
     wanted = duck.execute(ORACLE_SQL[name]).df()
+    assert len(wanted) > 0
     assert sorted(found.columns) == sorted(wanted.columns)
     assert rows(found) == rows(wanted)
 

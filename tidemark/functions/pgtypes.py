@@ -64,18 +64,31 @@ def money(value: Column) -> Column:
     return F.regexp_replace(value, r"[^\d.-]", "").try_cast("double")
 
 
+def _unquoted(text: Column, escaped: str) -> Column:
+    """A quoted text without its quotes; ``escaped`` is the pattern of an escape, its character in group 1."""
+    return F.regexp_replace(F.regexp_replace(text, '^"|"$', ""), escaped, "$1")
+
+
 def composite(value: Column) -> Column:
-    """A row literal as field_1 to field_n, all text."""
-    body = F.regexp_replace(value, r"^\(|\)$", "")
-    fields = F.transform(F.split(body, ","), lambda x, i: F.struct(F.concat(F.lit("field_"), (i + 1).cast("string")), F.regexp_replace(F.trim(x), '^"|"$', "")))
-    return F.when(value.isNotNull(), F.map_from_entries(fields))
+    """A row literal as field_1 to field_n, all text; quoted fields may hold commas, brackets and doubled or escaped quotes, and an empty one is the empty text."""
+    body = F.regexp_extract(value, r"(?s)^\((.*)\)$", 1)
+    found = F.regexp_extract_all(body, F.lit(r'(?s)(?:^|,)("(?:[^"\\]|\\.|"")*"|[^,"]*)(?=,|$)'), F.lit(1))
+    # doubled quotes and backslash escapes are one character each
+    plain = lambda x: F.when(x.startswith('"'), _unquoted(x, r'(?s)(?:\\|"(?="))(.)')).otherwise(x)
+    fields = F.transform(found, lambda x, i: F.struct(F.concat(F.lit("field_"), (i + 1).cast("string")), plain(x)))
+    return F.when(value.rlike(r"(?s)^\(.*\)$"), F.map_from_entries(fields))
 
 
 def hstore(value: Column) -> Column:
-    """"k"=>"v" pairs as a map of text; NULL is null."""
-    pairs = F.regexp_extract_all(value, F.lit(r'"?([^"=>,]+)"?\s*=>\s*(?:"([^"]*)"|NULL)'), F.lit(0))
-    entry = lambda p: F.struct(F.regexp_extract(p, r'^"?([^"=>,]+?)"?\s*=>', 1), F.when(~p.rlike(r"=>\s*NULL$"), F.regexp_extract(p, r'=>\s*"([^"]*)"$', 1)))
-    return F.when(value.isNotNull(), F.map_from_entries(F.transform(pairs, entry)))
+    """"k"=>"v" pairs as a map of text; keys and values may be quoted and escaped, NULL is null, and a repeated key keeps its first value."""
+    word = r'"(?:[^"\\]|\\.)*"|[^\s",=>]+'
+    pairs = F.regexp_extract_all(value, F.lit(rf"(?s)(?:{word})\s*=>\s*(?:{word})"), F.lit(0))
+    side = lambda p, k: F.regexp_extract(p, rf"(?s)^({word})\s*=>\s*({word})$", k)
+    plain = lambda x: F.when(x.startswith('"'), _unquoted(x, r"(?s)\\(.)")).otherwise(x)
+    entries = F.transform(pairs, lambda p: F.struct(plain(side(p, 1)).alias("k"), F.when(F.upper(side(p, 2)) != "NULL", plain(side(p, 2))).alias("v")))
+    keys = F.transform(entries, lambda e: e["k"])
+    first = F.filter(entries, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
+    return F.when(value.isNotNull(), F.map_from_entries(first))
 
 
 @dataclass(frozen=True)
@@ -120,7 +133,7 @@ BASE_TYPES = [
     PgType(3615, "tsquery", "keyword", as_text),
 ]
 
-#: Further types of the protocol; their converters are text unless named.
+#: Further types of the protocol. Intervals, bits, ranges and XML are documents' text as the server prints them.
 ADVANCED_TYPES = [
     PgType(1186, "interval", "keyword", as_text),
     PgType(790, "money", "double", money),

@@ -52,5 +52,8 @@ DEAD_LETTER = T.StructType(
         T.StructField("first_failed", T.TimestampType()),
         T.StructField("last_retried", T.TimestampType()),
         T.StructField("status", T.StringType()),
+        # the batch that found the failure, and the number of the write that says so
+        T.StructField("batch", T.StringType()),
+        T.StructField("version", T.LongType()),
     ]
 )

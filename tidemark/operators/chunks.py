@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 #: Rows below which a table has a priority and a largest chunk.
 PRIORITIES = [(10_000, 100), (100_000, 80), (1_000_000, 60), (10_000_000, 40)]
 LOWEST_PRIORITY = 20
 CHUNK_LIMITS = [(10_000, 1_000), (100_000, 5_000), (1_000_000, 10_000)]
+#: Tries of a chunk, and seconds that each adds to the wait before the next.
+CHUNK_TRIES, CHUNK_WAIT = 3, 5
 
 
 def plan_even(low: int, high: int, size: int, most: int = 8) -> list[tuple[int, int]]:
@@ -21,11 +25,6 @@ def plan_even(low: int, high: int, size: int, most: int = 8) -> list[tuple[int,
     return [(low + k * step, high + 1 if k == count - 1 else low + (k + 1) * step) for k in range(count)]
 
 
-def plan_strides(low: int, high: int, size: int) -> list[tuple[int, int]]:
-    """Inclusive ranges of ``size`` ids, the last cut at ``high``."""
-    return [(a, min(a + size - 1, high)) for a in range(low, high + 1, size)]
-
-
 def even_chunks(df: DataFrame, key: str, size: int, most: int = 8) -> DataFrame:
     """(chunk_id, start_id, end_id) by ``plan_even`` over the key's range; two numbers are all that is aggregated."""
     span = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low is not null")
@@ -36,7 +35,7 @@ def even_chunks(df: DataFrame, key: str, size: int, most: int = 8) -> DataFrame:
 
 
 def stride_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """(chunk_id, start_id, end_id) by ``plan_strides``."""
+    """(chunk_id, start_id, end_id): inclusive ranges of ``size`` ids, the last cut at the greatest."""
     span = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low is not null")
     starts = span.select("high", F.posexplode(F.sequence("low", "high", F.lit(size).cast("long"))).alias("chunk_id", "start_id"))
     return starts.select(F.col("chunk_id").cast("long").alias("chunk_id"), "start_id", F.least(F.col("start_id") + size - 1, "high").alias("end_id"))
@@ -64,10 +63,10 @@ def time_chunk(ts: Column, unit: str) -> Column:
 def pages(df: DataFrame, order: list[str], size: int) -> DataFrame:
     """Rows with ``row_index`` and ``page`` in a total order, numbered without one task seeing all rows.
 
-    A range sort puts rows in order over all partitions; counts of the
-    partitions before give each its first number.
+    A range sort puts rows in order over all partitions, settled so that both
+    readings see the same cuts; counts of the partitions before give each its first number.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    ordered = settle(df.repartitionByRange(*order)).withColumn("__p", F.spark_partition_id())
     ordered = ordered.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     sizes = ordered.groupBy("__p").agg(F.count("*").alias("__n"))
     first = sizes.withColumn("__first", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
@@ -94,3 +93,33 @@ def group_boundaries(df: DataFrame, key: str, groups: int) -> DataFrame:
     cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / groups) for k in range(1, groups)]), 10_000)).first()[0]
     bucket = sum([(F.col(key) > c).cast("int") for c in cuts or []], F.lit(0))
     return df.groupBy(bucket.alias("bucket")).agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
+
+
+def key_span(df: DataFrame, key: str) -> DataFrame:
+    """One row: the least key, the greatest, and how many rows there are."""
+    return df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+
+
+def rows_per_chunk(df: DataFrame, key: str, size: int, most: int = 8) -> DataFrame:
+    """(chunk_id, n) of the plan that ``even_chunks`` makes over the key's whole range; rows without a key are in no chunk."""
+    span = key_span(df, key).first()
+    if span["low"] is None:
+        return df.select(F.lit(0).cast("long").alias("chunk_id"), F.lit(0).cast("long").alias("n")).limit(0)
+    return df.withColumn("chunk_id", chunk_of(F.col(key), plan_even(span["low"], span["high"], size, most))).filter("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+def sorted_chunks(df: DataFrame, key: str, chunk: Column) -> DataFrame:
+    """Rows with ``chunk_id``, each chunk's in key order and in one task, as a scan of chunks emits them."""
+    return df.withColumn("chunk_id", chunk).repartition("chunk_id").sortWithinPartitions("chunk_id", key)
+
+
+def page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
+    """One page of a total order."""
+    return df.orderBy(*order).offset(offset).limit(size)
+
+
+def after_failure(chunks: DataFrame) -> DataFrame:
+    """Failed chunks (tries, failed_at) with their next status and time: a few tries with a wait that grows by steps, then failed for good."""
+    again = F.col("tries") + 1 < CHUNK_TRIES
+    due = F.timestamp_seconds(F.unix_seconds("failed_at") + (F.col("tries") + 1) * CHUNK_WAIT)
+    return chunks.withColumns({"status": F.when(again, "pending").otherwise("failed"), "next_at": F.when(again, due), "tries": F.col("tries") + 1})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,22 @@ def event_counts(events: DataFrame, job: str) -> DataFrame:
 def worker_rates(batches: DataFrame, worker: str, rows: str, elapsed_seconds: float) -> DataFrame:
     """Batches, rows and rows a second of each worker."""
     return batches.groupBy(worker).agg(F.count("*").alias("batches"), F.sum(rows).alias("done_rows"), (F.sum(rows) / F.lit(elapsed_seconds)).alias("rows_per_second"))
+
+
+def histogram(rows: DataFrame, status: str) -> DataFrame:
+    return rows.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+
+
+def lag_seconds(seen: DataFrame, by: str, produced: str, committed: str) -> DataFrame:
+    """Seconds between the newest event of each source and the newest one committed, none if the commit is ahead."""
+    newest = seen.groupBy(by).agg(F.max(F.unix_seconds(produced)).alias("p"), F.max(F.unix_seconds(committed)).alias("c"))
+    return newest.select(by, F.greatest(F.col("p") - F.coalesce("c", "p"), F.lit(0)).cast("long").alias("lag_seconds"))
+
+
+def smoothed(batches: DataFrame, by: str, order: str, value: str, last: int = 64) -> DataFrame:
+    """Each measure counts half of what is left: older ones than the ``last`` add under 2 ** -last of the whole."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
+    recent = batches.withColumn("__rank", rank).filter(F.col("__rank") <= last)
+    listed = recent.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("v"))
+    values = F.transform("v", lambda x: x[value].cast("double"))
+    return listed.select(by, F.aggregate(values, F.element_at(values, 1), lambda a, x: (a + x) / 2).alias("smoothed"))

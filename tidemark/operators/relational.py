@@ -35,6 +35,17 @@ def missing(wanted: DataFrame, present: DataFrame, on: str | list[str]) -> DataF
     return wanted.join(present, on, "left_anti")
 
 
+def only(rows: DataFrame, named: DataFrame, on: str | list[str]) -> DataFrame:
+    """Rows whose key is in another table."""
+    return rows.join(small(named), on, "left_semi")
+
+
+def latest_of_those(rows: DataFrame, facts: DataFrame, on: str, value: str, wanted: Column) -> DataFrame:
+    """Rows that have a fact as ``wanted``, with the greatest ``value`` of all their facts: a subquery and an EXISTS in one pass over the facts."""
+    per = facts.groupBy(on).agg(F.max(value).alias(value), F.bool_or(wanted).alias("__wanted"))
+    return rows.join(per.filter("__wanted").drop("__wanted"), on)
+
+
 def change_operation(kind: Column) -> Column:
     """Change-stream operation to log operation; null for others."""
     return F.when(kind == "insert", "INSERT").when(kind.isin("update", "replace"), "UPDATE").when(kind == "delete", "DELETE")

@@ -14,14 +14,15 @@ def known_operations(events: DataFrame, op: str = "op") -> DataFrame:
 
 
 def latest(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Each key's event of greatest ``seq``.
+    """Each key's event of greatest ``seq``; of several, as a snapshot's rows have one ``seq``, that of greatest position, operation and data.
 
     One aggregation and one shuffle: each task sorts its rows by key, spilling if
     it must, and sends one row a key, so a key with a third of all events costs no
     more than any other. A window would send all rows and buffer the key's.
     """
     rest = [c for c in events.columns if c not in keys]
-    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("__last")).select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
+    order = F.struct(seq, *[c for c in ("position", "op", "data") if c in rest])
+    return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__last")).select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
 def current_state(events: DataFrame, keys: list[str], seq: str = "seq", op: str = "op") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Order within a rule: filters, renames and copies, casts with defaults,
 requirements and validation, computed fields, masks, exclusions. Rules of lower
-priority number go first. A rule that names a column the table doesn't have
-leaves that part out, as documents may lack any field.
+priority number go first. A column that the table doesn't have is a field that every
+document lacks: filters see null, and other parts of a rule that name it are left out.
 """
 
 from __future__ import annotations
@@ -122,9 +122,8 @@ def apply_rule(df: DataFrame, rule: dict, rules: RuleSet) -> DataFrame:
     """One rule over a table's rows; failures are collected in ``_errors``, an array of text."""
     has = lambda c: c in df.columns
     for f in rule.get("filters", []):
-        if has(f["field"]) or f["operator"] in ("exists",):
-            keep = predicate(F.col(f["field"]) if has(f["field"]) else F.lit(None), f["operator"], f.get("value"))
-            df = df.filter(~keep if f.get("action", "include") == "exclude" else keep)
+        keep = predicate(F.col(f["field"]) if has(f["field"]) else F.lit(None).cast("string"), f["operator"], f.get("value"))
+        df = df.filter(~keep if f.get("action", "include") == "exclude" else keep)
     for m in rule.get("field_mappings", []):
         if m["source_field"] in df.columns:
             df = df.withColumnRenamed(m["source_field"], m["target_field"]) if m["action"] == "rename" else df.withColumn(m["target_field"], F.col(m["source_field"]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import bson, datetimes, documents, inference, masks, pgtypes, positions
 from tidemark.operators import chunks, dead_letters, progress, relational, upsert
 from tidemark.plans.rules import RuleSet, apply_rules
-from tidemark.session import ship
-from tidemark.sinks.index import IndexStore, bulk_lines
+from tidemark.session import shared_folder, ship
+from tidemark.sinks.index import FailingStore, IndexStore, bulk_lines
+from tidemark.sources import catalogs
 from tidemark.sources import events as source_events
 from tidemark.sources import pgoutput, readers
 from tidemark.streaming import windows
@@ -108,12 +108,12 @@ def table_filter_list(spark, sf_dir):
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def table_filter_semi(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return _t(spark, sf_dir, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return relational.only(_t(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def table_missing_anti(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = _t(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return relational.missing(_t(spark, sf_dir, "customer"), o, "c_custkey").select("c_custkey", "c_name")
 
 
@@ -124,13 +124,12 @@ def range_predicate(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#%1' AND NOT (c_acctbal < 0) AND c_mktsegment <> 'BUILDING'")
 def like_not_predicate(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer")
-    return c.filter(F.col("c_name").like("Customer#%1") & ~(F.col("c_acctbal") < 0) & (F.col("c_mktsegment") != "BUILDING")).select("c_custkey")
+    return readers.read_snapshot(spark, f"{sf_dir}/customer.parquet", ["c_custkey"], "c_name LIKE 'Customer#%1' AND NOT (c_acctbal < 0) AND c_mktsegment <> 'BUILDING'")
 
 
 @query("SELECT event_id FROM events WHERE regexp_matches(event_type, '^(view|click)$') AND value > 50")
 def regex_state_predicate(spark, sf_dir):
-    return _t(spark, sf_dir, "events").filter(F.col("event_type").rlike("^(view|click)$") & (F.col("value") > 50)).select("event_id")
+    return readers.read_snapshot(spark, f"{sf_dir}/events.parquet", ["event_id"], "event_type RLIKE '^(view|click)$' AND value > 50")
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -143,14 +142,13 @@ def catalog_lookup_join(spark, sf_dir):
 @query("SELECT n_nationkey, n_name, s_suppkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000")
 def catalog_left_join(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    return _t(spark, sf_dir, "nation").join(s, "n_nationkey", "left").select("n_nationkey", "n_name", "s_suppkey")
+    return relational.lookup(_t(spark, sf_dir, "nation"), s, "n_nationkey", "left").select("n_nationkey", "n_name", "s_suppkey")
 
 
 @query("SELECT c_custkey, (SELECT max(o_orderkey) FROM orders WHERE o_custkey = c_custkey) AS last_order FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def scalar_subquery_exists(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    per = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("last_order"), F.bool_or(F.col("o_orderstatus") == "P").alias("pending"))
-    return _t(spark, sf_dir, "customer").join(per.filter("pending"), "c_custkey").select("c_custkey", "last_order")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("last_order"), "o_orderstatus")
+    return relational.latest_of_those(_t(spark, sf_dir, "customer"), o, "c_custkey", "last_order", F.col("o_orderstatus") == "P").select("c_custkey", "last_order")
 
 
 @query("""WITH s AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), p AS (SELECT lo, hi, least(greatest((hi - lo + 1) // 1000, 1), 8) AS n FROM s)
@@ -165,10 +163,10 @@ def chunk_id_ranges_stride(spark, sf_dir):
     return chunks.stride_chunks(_t(spark, sf_dir, "orders"), "o_orderkey", 1000)
 
 
-@query("SELECT o_orderkey // 2000 AS chunk_id, count(*) AS n FROM orders WHERE o_orderkey >= 0 AND o_orderkey < 14000 GROUP BY 1")
+@query("""WITH s AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), p AS (SELECT lo, hi, least(greatest((hi - lo + 1) // 2000, 1), 8) AS n FROM s)
+SELECT least((o_orderkey - lo) // ((hi - lo + 1) // n), n - 1)::BIGINT AS chunk_id, count(*) AS n FROM orders, p GROUP BY 1""")
 def chunk_rowcounts(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").withColumn("chunk_id", chunks.chunk_of(F.col("o_orderkey"), [(k * 2000, (k + 1) * 2000) for k in range(7)]))
-    return o.filter("chunk_id is not null").groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return chunks.rows_per_chunk(_t(spark, sf_dir, "orders"), "o_orderkey", 2000)
 
 
 @query("SELECT (o_orderkey % 8)::INTEGER AS chunk_id, count(*) AS n FROM orders GROUP BY 1")
@@ -234,23 +232,22 @@ def table_name_extraction(spark, sf_dir):
 
 @query("SELECT min(o_orderkey) AS low, max(o_orderkey) AS high, count(*) AS n FROM orders")
 def top1_min_max(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    return o.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
+    return chunks.key_span(_t(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
 def ordered_page(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").orderBy("o_orderkey").offset(200).limit(100).select("o_orderkey", "o_totalprice")
+    return chunks.page(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 200, 100)
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_histogram(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return progress.histogram(_t(spark, sf_dir, "orders"), "o_orderstatus")
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_shipdate, l_linenumber) AS parts FROM lineitem GROUP BY 1")
 def ordered_array_agg(spark, sf_dir):
-    return relational.ordered_values(_t(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"], "n_name").select("n_regionkey", F.array_join("items", ",").alias("names"))
+    return relational.ordered_values(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_shipdate", "l_linenumber"], "l_partkey").select("l_orderkey", F.array_join("items", ",").alias("parts"))
 
 
 _CHUNKS = "SELECT o_orderpriority AS table_name, CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'pending' END AS status, 100 + o_orderkey % 50 AS total_rows, 90 + o_orderkey % 50 AS processed_rows FROM orders"
@@ -363,18 +360,18 @@ def pg_point_parse(spark, sf_dir):
     return _t(spark, sf_dir, "orders").withColumn("p", pgtypes.point(text)).select("o_orderkey", "p.lat", "p.lon")
 
 
-@query("SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, true AS empty FROM orders")
+@query("""SELECT o_orderkey, o_orderstatus AS s, concat('a"', o_orderpriority, '\\, =>b') AS p, o_custkey::VARCHAR AS odd, true AS empty, 4 AS n FROM orders""")
 def hstore_parse(spark, sf_dir):
-    text = F.concat(F.lit('"s"=>"'), F.col("o_orderstatus"), F.lit('", "p"=>"'), F.col("o_orderpriority"), F.lit('", "z"=>NULL'))
+    text = F.concat(F.lit('"s"=>"'), F.col("o_orderstatus"), F.lit('", "p"=>"a\\"'), F.col("o_orderpriority"), F.lit('\\\\, =>b", "k, \\"=>"=> '), F.col("o_custkey").cast("string"), F.lit(', z=>NULL, "s"=>"again"'))
     m = pgtypes.hstore(text)
-    return _t(spark, sf_dir, "orders").select("o_orderkey", m["s"].alias("s"), m["p"].alias("p"), (F.map_contains_key(m, "z") & m["z"].isNull()).alias("empty"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", m["s"].alias("s"), m["p"].alias("p"), m['k, "=>'].alias("odd"), (F.map_contains_key(m, "z") & m["z"].isNull()).alias("empty"), F.size(m).alias("n"))
 
 
-@query("SELECT o_orderkey, o_orderstatus AS f1, o_custkey::VARCHAR AS f2 FROM orders")
+@query("""SELECT o_orderkey, o_orderstatus AS f1, o_custkey::VARCHAR AS f2, concat('a,', o_orderpriority, '"b') AS f3, '' AS f4, '(x)\\' AS f5, 5 AS n FROM orders""")
 def pg_composite_parse(spark, sf_dir):
-    text = F.concat(F.lit("("), F.col("o_orderstatus"), F.lit(","), F.col("o_custkey").cast("string"), F.lit(")"))
+    text = F.concat(F.lit("("), F.col("o_orderstatus"), F.lit(","), F.col("o_custkey").cast("string"), F.lit(',"a,'), F.col("o_orderpriority"), F.lit('""b",,"(x)\\\\")'))
     m = pgtypes.composite(text)
-    return _t(spark, sf_dir, "orders").select("o_orderkey", m["field_1"].alias("f1"), m["field_2"].alias("f2"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", *[m[f"field_{k}"].alias(f"f{k}") for k in range(1, 6)], F.size(m).alias("n"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS k, event_id % 3 = 0 AS is_text FROM events")
@@ -455,17 +452,17 @@ def rule_cast_default(spark, sf_dir):
     return apply_rules(raw, "users", rules)[0]
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'email: required' ELSE 'email: Invalid email format' END AS reason FROM events WHERE event_id % 5 < 2")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'contact: required' ELSE 'contact: no address' END AS reason FROM events WHERE event_id % 5 < 2")
 def rule_required_validate(spark, sf_dir):
     k = F.col("event_id") % 5
-    raw = _t(spark, sf_dir, "events").select("event_id", F.when(k == 1, "nobody").when(k > 1, F.concat(F.lit("u"), F.col("event_id").cast("string"), F.lit("@example.com"))).alias("email"))
-    rules = _rules(field_configs=[{"field": "email", "target_type": "keyword", "required": True, "validation": {"pattern": r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "error_message": "Invalid email format"}}])
+    raw = _t(spark, sf_dir, "events").select("event_id", F.when(k == 1, "nobody").when(k > 1, F.concat(F.lit("u"), F.col("event_id").cast("string"), F.lit("@mail.test"))).alias("contact"))
+    rules = _rules(field_configs=[{"field": "contact", "target_type": "keyword", "required": True, "validation": {"pattern": r"^\S+@\S+\.\w+$", "error_message": "no address"}}])
     return apply_rules(raw, "users", rules)[1].select("event_id", F.array_join("_errors", "; ").alias("reason"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 18 THEN 'minor' WHEN p_size < 60 THEN 'adult' ELSE 'senior' END AS size_group, p_size > 10 AS large FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size <= 7 THEN 'box' WHEN p_size <= 31 THEN 'crate' ELSE 'pallet' END AS size_group, p_size > 10 AS large FROM part")
 def rule_computed_ternary(spark, sf_dir):
-    rules = _rules(computed_fields=[{"field": "size_group", "expression": "$.p_size < 18 ? 'minor' : ($.p_size < 60 ? 'adult' : 'senior')", "dependencies": ["p_size"]}, {"field": "large", "expression": "$.p_size > 10"}])
+    rules = _rules(computed_fields=[{"field": "size_group", "expression": "$.p_size <= 7 ? 'box' : ($.p_size <= 31 ? 'crate' : 'pallet')", "dependencies": ["p_size"]}, {"field": "large", "expression": "$.p_size > 10"}])
     return apply_rules(_t(spark, sf_dir, "part").select("p_partkey", "p_size"), "part", rules)[0].drop("p_size")
 
 
@@ -495,6 +492,17 @@ def rule_filter_ne_nin(spark, sf_dir):
     return apply_rules(_t(spark, sf_dir, "events").select("event_id", "event_type"), "events", rules)[0]
 
 
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'view'")
+def rule_filter_absent(spark, sf_dir):
+    """A field that no document has differs from every value: it passes ne, and neither eq nor regex."""
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type")
+    passed = apply_rules(e, "events", _rules(filters=[{"field": "gone", "operator": "ne", "value": "x"}, {"field": "gone", "operator": "exists", "value": False}, {"field": "event_type", "operator": "eq", "value": "view"}]))[0]
+    stopped = [apply_rules(e, "events", _rules(filters=[{"field": "gone", "operator": o, "value": "x"}]))[0] for o in ("eq", "in", "regex", "gt")]
+    for none in stopped:
+        passed = passed.unionByName(none)
+    return passed
+
+
 @query("SELECT 'audit_log' AS table_name, 'all,log' AS rules UNION ALL SELECT 'users', 'all' UNION ALL SELECT 'logs', 'all,log'")
 def rule_glob_targeting(spark, sf_dir):
     rules = RuleSet([{"id": "log", "table_patterns": ["logs", "*_log"], "priority": 10}, {"id": "all", "table_patterns": ["*"], "priority": 1}, {"id": "off", "table_patterns": ["*"], "enabled": False}, {"id": "other", "source_id": "b", "table_patterns": ["*"]}])
@@ -579,19 +587,20 @@ def chunk_equal_rows(spark, sf_dir):
     return parts.agg(F.sum("n").alias("rows_in"), F.count("*").alias("n_buckets"), even.alias("even"))
 
 
-_DAYS = "SELECT DISTINCT user_id FROM events WHERE event_type = '{}'"
+_BEFORE, _AFTER = "event_type = 'view' AND value > 100", "event_type = 'click' AND value < 5"
+_USERS = "SELECT DISTINCT user_id FROM events WHERE "
 
 
-@query(f"{_DAYS.format('purchase')} EXCEPT {_DAYS.format('error')}")
+@query(f"{_USERS}{_AFTER} EXCEPT {_USERS}{_BEFORE}")
 def migration_started(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    return relational.started_and_finished(e.filter("event_type = 'error'"), e.filter("event_type = 'purchase'"), "user_id")[0]
+    return relational.started_and_finished(e.filter(_BEFORE), e.filter(_AFTER), "user_id")[0]
 
 
-@query(f"{_DAYS.format('error')} EXCEPT {_DAYS.format('purchase')}")
+@query(f"{_USERS}{_BEFORE} EXCEPT {_USERS}{_AFTER}")
 def migration_finished(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    return relational.started_and_finished(e.filter("event_type = 'error'"), e.filter("event_type = 'purchase'"), "user_id")[1]
+    return relational.started_and_finished(e.filter(_BEFORE), e.filter(_AFTER), "user_id")[1]
 
 
 @query("SELECT c_custkey, 'new' AS origin FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'old' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey NOT IN (2, 4)")
@@ -662,8 +671,7 @@ def checkpoint_validity(spark, sf_dir):
 @query("SELECT o_orderkey // 3000 AS chunk_id, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, true AS in_order FROM orders GROUP BY 1")
 def chunk_sorted_scan(spark, sf_dir):
     """Each chunk's rows arrive in key order: the gap to the row before is never negative."""
-    o = _t(spark, sf_dir, "orders").withColumn("chunk_id", F.floor(F.col("o_orderkey") / 3000))
-    ordered = o.repartition("chunk_id").sortWithinPartitions("chunk_id", "o_orderkey").select("chunk_id", "o_orderkey", F.monotonically_increasing_id().alias("at"))
+    ordered = chunks.sorted_chunks(_t(spark, sf_dir, "orders"), "o_orderkey", F.floor(F.col("o_orderkey") / 3000)).select("chunk_id", "o_orderkey", F.monotonically_increasing_id().alias("at"))
     gaps = ordered.withColumn("gap", F.col("o_orderkey") - F.lag("o_orderkey").over(Window.partitionBy("chunk_id").orderBy("at")))
     return gaps.groupBy("chunk_id").agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.coalesce(F.min("gap") >= 0, F.lit(True)).alias("in_order"))
 
@@ -696,9 +704,8 @@ def index_merge_old_events(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A fresh folder that all executors see; machine-local only where the session names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A fresh folder that all executors see."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 _STREAM_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -755,3 +762,210 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*
 def window_session(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return windows.sessions(e, "ts", "user_id", "30 minutes").select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("session_start"), "n_events")
+
+
+@query("SELECT event_id::VARCHAR AS position, 'pending' AS status FROM events WHERE event_id % 10 = 3")
+def stream_replay_letters(spark, sf_dir):
+    """A batch that comes again after its letters were written leaves them as they were."""
+    at = _scratch(spark)
+    job = SyncJob("replay", IndexStore(spark, f"{at}/index", "app"), f"{at}/letters", f"{at}/checkpoint", error=lambda b: F.when(F.col("seq") % 10 == 3, "rejected"))
+    job.start(_stream(spark, sf_dir), once=True).awaitTermination()
+    job.handle(change_log(spark, sf_dir), 0)
+    return job.letters().select("position", "status")
+
+
+@query("SELECT event_id::VARCHAR AS position, CASE WHEN event_id % 20 = 3 THEN 'resolved' ELSE 'exhausted' END AS status, CASE WHEN event_id % 20 = 3 THEN 1 ELSE 3 END AS retry_count FROM events WHERE event_id % 10 = 3")
+def stream_retry_fsm(spark, sf_dir):
+    """Rounds of retries until nothing is due: mended letters are resolved, the others exhausted after their tries."""
+    at = _scratch(spark)
+    bad = lambda b: F.when((F.col("seq") % 10 == 3) & ~F.col("pk").startswith("mended-"), "rejected")
+    job = SyncJob("fsm", IndexStore(spark, f"{at}/index", "app"), f"{at}/letters", f"{at}/checkpoint", error=bad, base_seconds=0)
+    job.handle(change_log(spark, sf_dir), 0)
+    mend = lambda df: df.withColumn("pk", F.when(F.col("seq") % 20 == 3, F.concat(F.lit("mended-"), "pk")).otherwise(F.col("pk")))
+    while job.retry(mend):
+        pass
+    return job.letters().select("position", "status", "retry_count")
+
+
+@query("SELECT event_id::VARCHAR AS position, 'sink' AS error_type, 'resolved' AS status FROM events")
+def stream_sink_down(spark, sf_dir):
+    """A job whose sink takes nothing loses no event: all are letters, and go through once the sink is back."""
+    at = _scratch(spark)
+    job = SyncJob("down", FailingStore(spark), f"{at}/letters", f"{at}/checkpoint", base_seconds=0)
+    job.handle(change_log(spark, sf_dir), 0)
+    job.store = IndexStore(spark, f"{at}/index", "app")
+    job.retry()
+    return job.letters().select("position", "error_type", "status")
+
+
+_RULED = f"SELECT event_id, user_id, {_OP} AS op, json_extract_string(props, '$.k')::BIGINT AS k FROM events"
+
+
+@query(f"""SELECT user_id::VARCHAR AS pk, event_id AS seq, concat('{{"key":', k::VARCHAR, ',"odd":', CASE WHEN k > 50 THEN '"high"' ELSE '"low"' END, '}}') AS data
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM ({_RULED}) WHERE op = 'DELETE' OR k % 10 <> 3) WHERE rn = 1 AND op <> 'DELETE'""")
+def stream_rules(spark, sf_dir):
+    """The stream's documents go through rules on their way to the index."""
+    at = _scratch(spark)
+    rules = _rules(field_mappings=[{"source_field": "k", "target_field": "key", "action": "rename"}], field_configs=[{"field": "key", "validation": {"pattern": "[^3]$", "error_message": "ends in 3"}}], computed_fields=[{"field": "odd", "expression": "$.key > 50 ? 'high' : 'low'"}])
+    job = SyncJob("ruled", IndexStore(spark, f"{at}/index", "app"), f"{at}/letters", f"{at}/checkpoint", rules=rules, schemas={"Users": "k bigint"})
+    job.start(_stream(spark, sf_dir), once=True).awaitTermination()
+    return job.store.read().select("pk", "seq", "data")
+
+
+@query(f"""WITH p AS (SELECT max(event_id) AS top FROM events WHERE value <= 50), s AS (SELECT c_custkey::VARCHAR AS pk, 'INSERT' AS op, top AS seq, top::VARCHAR AS position FROM customer, p UNION ALL SELECT user_id::VARCHAR, {_OP}, event_id, event_id::VARCHAR FROM events, p WHERE event_id > top)
+SELECT pk, op, seq, position FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY seq DESC) AS rn FROM s) WHERE rn = 1 AND op <> 'DELETE'""")
+def snapshot_position(spark, sf_dir):
+    """A snapshot stamped with the position that the log had before it, and the stream from there on."""
+    log = change_log(spark, sf_dir)
+    seen = log.join(_t(spark, sf_dir, "events").filter("value <= 50").select(F.col("event_id").alias("seq")), "seq", "left_semi")
+    at = source_events.log_position(seen)
+    snap = source_events.snapshot_at(_t(spark, sf_dir, "customer"), "Users", ["c_custkey"], at)
+    return upsert.current_state(snap.unionByName(source_events.resume_after(log, at)), ["pk"]).select("pk", "op", "seq", "position")
+
+
+@query("SELECT event_type, user_id AS source, (max(event_id) * 60 - coalesce(max(CASE WHEN value < 50 THEN event_id * 60 END), max(event_id) * 60))::BIGINT AS lag_seconds FROM events GROUP BY 1, 2")
+def replication_lag_seconds(spark, sf_dir):
+    at = F.timestamp_seconds(F.col("event_id") * 60)
+    e = _t(spark, sf_dir, "events").select(F.struct("event_type", "user_id").alias("source"), at.alias("produced"), F.when(F.col("value") < 50, at).alias("committed"))
+    return progress.lag_seconds(e, "source", "produced", "committed").select("source.event_type", F.col("source.user_id").alias("source"), "lag_seconds")
+
+
+@query("SELECT event_type, round(list_reduce(list(value ORDER BY event_id)[-64:], lambda a, x: (a + x) / 2), 6) AS smoothed FROM events GROUP BY 1")
+def smoothed_latency(spark, sf_dir):
+    return progress.smoothed(_t(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_type", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("SELECT least(count(*), 100) AS n, true AS all_pending FROM events WHERE event_type = 'error' AND event_id % 5 > 1")
+def dlq_list_unordered(spark, sf_dir):
+    some = dead_letters.list_items(_items(spark, sf_dir), "pending", 100, ordered=False)
+    return some.agg(F.count("*").alias("n"), F.bool_and(F.col("status") == "pending").alias("all_pending"))
+
+
+@query("SELECT o_orderkey, (o_orderkey % 3 + 1)::INTEGER AS tries, CASE WHEN o_orderkey % 3 < 2 THEN 'pending' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 3 < 2 THEN 5 * (o_orderkey % 3 + 1) END::BIGINT AS wait FROM orders")
+def chunk_retry(spark, sf_dir):
+    at = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    failed = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("tries"), at.alias("failed_at"))
+    return chunks.after_failure(failed).select("o_orderkey", "tries", "status", (F.unix_seconds("next_at") - F.unix_seconds("failed_at")).alias("wait"))
+
+
+_SLOTS = "SELECT concat('slot_', s_suppkey::VARCHAR) AS slot_name, CASE WHEN s_suppkey % 5 = 0 THEN 'test_decoding' ELSE 'pgoutput' END AS plugin, s_acctbal > 5000 AS active, s_suppkey FROM supplier"
+
+
+def _slots(spark, sf_dir):
+    return _t(spark, sf_dir, "supplier").select(F.concat(F.lit("slot_"), F.col("s_suppkey").cast("string")).alias("slot_name"), F.when(F.col("s_suppkey") % 5 == 0, "test_decoding").otherwise("pgoutput").alias("plugin"), (F.col("s_acctbal") > 5000).alias("active"), F.concat(F.lit("1/"), F.hex("s_suppkey")).alias("confirmed_lsn"), F.concat(F.lit("1/"), F.hex(F.lit(1 << 20) - F.col("s_suppkey"))).alias("restart_lsn"))
+
+
+@query(f"""WITH s AS ({_SLOTS}), w AS (SELECT concat('slot_', n_nationkey::VARCHAR) AS slot_name FROM nation)
+SELECT coalesce(s.slot_name, w.slot_name) AS slot_name, CASE WHEN s.slot_name IS NULL THEN 'create' WHEN w.slot_name IS NULL THEN CASE WHEN active THEN 'keep' ELSE 'drop' END WHEN plugin <> 'pgoutput' THEN 'recreate' ELSE 'reuse' END AS action FROM s FULL JOIN w ON s.slot_name = w.slot_name""")
+def slot_actions(spark, sf_dir):
+    wanted = _t(spark, sf_dir, "nation").select(F.concat(F.lit("slot_"), F.col("n_nationkey").cast("string")).alias("slot_name"))
+    return catalogs.slot_actions(_slots(spark, sf_dir), wanted)
+
+
+@query(f"SELECT slot_name, active, 1048576 - s_suppkey AS lag, s_suppkey = (SELECT max(s_suppkey) FROM supplier) AS oldest FROM ({_SLOTS})")
+def slot_lags(spark, sf_dir):
+    slots = _slots(spark, sf_dir)
+    lags = catalogs.slot_lags(slots, F.lit("1/100000"))
+    oldest = catalogs.oldest_slot(slots).withColumn("oldest", F.lit(True))
+    return relational.lookup(lags, oldest, "slot_name", "left").select("slot_name", "active", F.col("lag").cast("long").alias("lag"), F.coalesce("oldest", F.lit(False)).alias("oldest"))
+
+
+@query("SELECT DISTINCT concat('t', c_nationkey::VARCHAR) AS table_name, 'add' AS change FROM customer WHERE c_acctbal > 9500 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL SELECT DISTINCT concat('t', s_nationkey::VARCHAR), 'drop' FROM supplier WHERE s_acctbal > 5000 AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+def publication_changes(spark, sf_dir):
+    published = _t(spark, sf_dir, "supplier").filter("s_acctbal > 5000").select(F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("table"))
+    wanted = _t(spark, sf_dir, "customer").filter("c_acctbal > 9500").select(F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("table"))
+    return catalogs.publication_changes(published, wanted).withColumnRenamed("table", "table_name")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'sharded' WHEN 1 THEN 'replicaset' ELSE 'standalone' END AS kind FROM events")
+def topology_detect(spark, sf_dir):
+    hello = F.when(F.col("event_id") % 3 == 0, '{"msg":"isdbgrid","ok":1}').when(F.col("event_id") % 3 == 1, '{"setName":"rs0","hosts":["a"]}').otherwise('{"ok":1}')
+    return _t(spark, sf_dir, "events").select("event_id", catalogs.topology(hello).alias("kind"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey >= 100 THEN concat('shard', least(o_custkey // 100, 9)::VARCHAR) END AS shard FROM orders")
+def shard_lookup(spark, sf_dir):
+    """Keys in the ranges that a router's catalog lists; the first range is in no shard."""
+    ranges = spark.createDataFrame([(100 * k, 100 * k + 100 if k < 9 else 1 << 60, f"shard{k}") for k in range(1, 10)], "low long, high long, shard string")
+    return catalogs.shard_of(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", ranges).select("o_orderkey", "shard")
+
+
+@query("SELECT event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS shard FROM events WHERE event_type <> 'error'")
+def shard_streams_merged(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", F.when(F.col("event_type") == "error", True).alias("from_migrate"))
+    own = lambda k, name: e.filter(F.col("user_id") % 2 == k).select("seq", F.lit(name).alias("shard"), "from_migrate")
+    return catalogs.merged_shards([own(0, "a"), own(1, "b")])
+
+
+@query("SELECT event_id AS seq, concat((event_id % 4)::VARCHAR, ':', event_id::VARCHAR) AS position, user_id::VARCHAR AS pk FROM events")
+def kafka_value_events(spark, sf_dir):
+    e = change_log(spark, sf_dir)
+    raw = e.select(F.to_json(F.struct(*[c for c in e.columns if c != "position"])).cast("binary").alias("value"), (F.col("seq") % 4).cast("int").alias("partition"), F.col("seq").alias("offset"))
+    return readers.kafka_events(raw).select("seq", "position", "pk")
+
+
+#: A literal of every type, and the document value that it becomes, as JSON.
+_LITERALS = [
+    ("bigint", "9007199254740993", "9007199254740993"),
+    ("smallint", "-32768", "-32768"),
+    ("integer", "2147483647", "2147483647"),
+    ("real", "1.5", "1.5"),
+    ("double precision", "-2.25", "-2.25"),
+    ("numeric", "12345678901234567890.123", '"12345678901234567890.123"'),
+    ("text", "it''s", '"it\'\'s"'),
+    ("char", "ab  ", '"ab  "'),
+    ("varchar", "x", '"x"'),
+    ("name", "pg_class", '"pg_class"'),
+    ("boolean", "t", "true"),
+    ("date", "2024-02-29", '"2024-02-29"'),
+    ("time", "10:11:12.5", '"10:11:12.5"'),
+    ("timestamp", "2024-02-29 10:11:12.5", '"2024-02-29T10:11:12.5Z"'),
+    ("timestamptz", "2024-02-29 10:11:12+02", '"2024-02-29T08:11:12Z"'),
+    ("timetz", "10:11:12+02", '"10:11:12+02"'),
+    ("bytea", "\\x00ff", '"\\\\x00ff"'),
+    ("uuid", "a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", '"a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"'),
+    ("json", '{"a": [1, null]}', '{"a":[1,null]}'),
+    ("jsonb", "{no json", '"{no json"'),
+    ("_int4", "{1,NULL,-3}", "[1,null,-3]"),
+    ("_text", '{"a,b",c,"d\\"e"}', '["a,b","c","d\\"e"]'),
+    ("_int8", "{}", "[]"),
+    ("inet", "10.0.0.1/8", '"10.0.0.1/8"'),
+    ("cidr", "10.0.0.0/8", '"10.0.0.0/8"'),
+    ("point", "(1.5,-2)", '{"lat":"-2","lon":"1.5"}'),
+    ("circle", "<(0,0),1>", '"<(0,0),1>"'),
+    ("tsvector", "\'a\':1", '"\'a\':1"'),
+    ("tsquery", "\'a\' & \'b\'", '"\'a\' & \'b\'"'),
+    ("interval", "1 day 02:00:00", '"1 day 02:00:00"'),
+    ("money", "-$1,234.50", "-1234.5"),
+    ("bit", "101", '"101"'),
+    ("varbit", "0", '"0"'),
+    ("int4range", "[1,10)", '"[1,10)"'),
+    ("int8range", "empty", '"empty"'),
+    ("numrange", "(,2.5]", '"(,2.5]"'),
+    ("tsrange", '["2024-01-01 00:00:00",)', '"[\\"2024-01-01 00:00:00\\",)"'),
+    ("tstzrange", "(,)", '"(,)"'),
+    ("daterange", "[2024-01-01,2024-02-01)", '"[2024-01-01,2024-02-01)"'),
+    ("int4multirange", "{[1,3),[5,7)}", '"{[1,3),[5,7)}"'),
+    ("int8multirange", "{}", '"{}"'),
+    ("xml", "<a b=\'c\'/>", '"<a b=\'c\'/>"'),
+    ("hstore", '"a"=>"1", b=>NULL', '{"a":"1","b":null}'),
+    ("_bool", "{t,f}", "[true,false]"),
+    ("_float4", "{0.5}", "[0.5]"),
+    ("_float8", "{1e3,NULL}", "[1000.0,null]"),
+    ("_uuid", "{a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11}", '["a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"]'),
+]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("SELECT n_nationkey, type, value FROM nation, (VALUES " + ", ".join(f"({_quoted(t)}, {_quoted(v)})" for t, _, v in _LITERALS) + ") t(type, value)")
+def pg_all_types(spark, sf_dir):
+    """Every type's converter, on a row of text values as a server prints them."""
+    types = pgtypes.TypeRegistry()
+    texts = [F.when(F.col("n_nationkey") >= 0, F.lit(text)).alias(f"t{k}") for k, (_, text, _) in enumerate(_LITERALS)]
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", *texts)
+    # the document's field without the name that JSON needs around it
+    value = lambda k, t: F.regexp_extract(F.to_json(F.struct(types.convert(t, F.col(f"t{k}")).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return rows.select("n_nationkey", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), value(k, t).alias("value")) for k, (t, _, _) in enumerate(_LITERALS)])).alias("x")).select("n_nationkey", "x.*")

@@ -3,54 +3,45 @@
 A write appends its batch, one row a key, as the next delta: its cost is that of
 the batch. A read merges the base and the deltas after it by key and sequence,
 so order of writes and repeated writes don't matter. Every ``compact_every``
-deltas become a new base. A folder counts once its write has finished, so
-readers see whole versions and a failed write is overwritten by the next.
+deltas become a new base; what that replaces stays for ``expire_seconds``, for
+those who read it, and a failed write is overwritten by the next.
 Deleted keys stay as tombstones with their sequence; ``read`` hides them.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.documents import index_name, strip_metadata_json
 from tidemark.operators.upsert import known_operations, latest
+from tidemark.sinks.versions import Versions
 
 COLUMNS = ["index", "pk", "op", "seq", "data"]
 SCHEMA = "index string, pk string, op string, seq long, data string"
 
 
-class IndexStore:
-    """Documents by index and key below ``root``, a path that Spark's readers and writers reach."""
-
-    def __init__(self, spark: SparkSession, root: str, prefix: str, compact_every: int = 16):
-        self.spark, self.root, self.prefix, self.compact_every = spark, root.rstrip("/"), prefix, compact_every
+class SinkError(RuntimeError):
+    """The sink took nothing; the events are for the dead letters."""
 
-    def _path(self, name: str = ""):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _fs(self):
-        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+class IndexStore:
+    """Documents by index and key below ``root``, a path that Spark's readers and writers reach."""
 
-    def _finished(self) -> tuple[int, list[int]]:
-        """The version of the newest base, 0 for none, and the deltas after it."""
-        fs, at = self._fs(), self._path()
-        if not fs.exists(at):
-            return 0, []
-        names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()]
-        done = [n for n in names if n[0] in "bd" and n[1:].isdigit() and fs.exists(self._path(f"{n}/_SUCCESS"))]
-        base = max([int(n[1:]) for n in done if n[0] == "b"], default=0)
-        return base, sorted(int(n[1:]) for n in done if n[0] == "d" and int(n[1:]) > base)
+    def __init__(self, spark: SparkSession, root: str, prefix: str, compact_every: int = 16, expire_seconds: float = 3600):
+        self.spark, self.prefix = spark, prefix
+        self.parts = Versions(spark, root, SCHEMA, compact_every, expire_seconds)
 
     def version(self) -> int:
         """The last write that was finished, 0 for none."""
-        base, deltas = self._finished()
-        return max([base, *deltas])
+        return self.parts.version()
 
     def _rows(self) -> DataFrame | None:
-        base, deltas = self._finished()
-        names = [f"b{base}"] * bool(base) + [f"d{n}" for n in deltas]
-        return self.spark.read.schema(SCHEMA).option("basePath", self.root).parquet(*[f"{self.root}/{n}" for n in names]).select(*COLUMNS) if names else None
+        base = self.parts.base()
+        rows = self.parts.read([p.name for p in [*([base] if base else []), *self.parts.deltas()]])
+        return rows.select(*COLUMNS) if rows is not None else None
 
     def state(self) -> DataFrame:
         """The newest row of every key, tombstones included."""
@@ -69,27 +60,45 @@ class IndexStore:
 
     def write(self, events: DataFrame) -> int:
         """Append a batch; the same batch again changes nothing. Returns the new version."""
-        base, deltas = self._finished()
-        v = max([base, *deltas]) + 1
-        latest(self.route(events), ["index", "pk"]).write.mode("overwrite").parquet(f"{self.root}/d{v}")
-        if len(deltas) + 1 >= self.compact_every:
+        latest(self.route(events), ["index", "pk"]).write.mode("overwrite").parquet(f"{self.parts.root}/{self.parts.place()}")
+        if self.parts.due():
             self.compact()
-        return v
+        return self.version()
 
     def compact(self) -> None:
-        """The state as a new base; what it replaces goes once it is finished."""
-        base, deltas = self._finished()
-        if not deltas:
-            return
-        self.state().repartition("index", "pk").sortWithinPartitions("index", "pk").write.mode("overwrite").parquet(f"{self.root}/b{deltas[-1]}")
-        for name in [f"b{base}"] * bool(base) + [f"d{n}" for n in deltas]:
-            self._fs().delete(self._path(name), True)
+        """The state as a new base."""
+        deltas = self.parts.deltas()
+        if deltas:
+            self.state().repartition("index", "pk").sortWithinPartitions("index", "pk").write.mode("overwrite").parquet(f"{self.parts.root}/b{deltas[-1].number}")
+        self.parts.clear()
+
+    def ensure(self, name: str, fields: dict[str, dict] | None = None) -> bool:
+        """Settings and mapping of an index, written as ``_mappings/<name>`` unless they are there; False if they are."""
+        at = self.parts._path(f"_mappings/{name}.json")
+        if self.parts._fs().exists(at):
+            return False
+        with_text = self.spark.createDataFrame([(json.dumps(create_mapping(fields), sort_keys=True),)], "value string")
+        with_text.coalesce(1).write.mode("overwrite").text(f"{self.parts.root}/_mappings/{name}.json")
+        return True
+
+    def mapping(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.parts.root}/_mappings/{name}.json").first()[0])
 
     def describe(self) -> DataFrame:
         """(index, n_docs) of indices that hold live documents."""
         return self.read().groupBy("index").agg(F.count("*").alias("n_docs"))
 
 
+class FailingStore:
+    """A sink that takes nothing, for a job whose sink is down: all its events become dead letters."""
+
+    def __init__(self, spark: SparkSession, reason: str = "no sink"):
+        self.spark, self.reason = spark, reason
+
+    def write(self, events: DataFrame) -> int:
+        raise SinkError(self.reason)
+
+
 def bulk_lines(index: Column, pk: Column, op: Column, data: Column) -> Column:
     """Lines of a bulk request: an action, and the document unless it is a deletion. An empty key lets the service choose one."""
     name = F.when(F.coalesce(pk, F.lit("")) != "", F.struct(index.alias("_index"), pk.alias("_id"))).otherwise(F.struct(index.alias("_index"), F.lit(None).cast("string").alias("_id")))
@@ -113,5 +122,6 @@ def bulk_requests(docs: DataFrame, max_bytes: int = 1_000_000) -> DataFrame:
 
 def create_mapping(fields: dict[str, dict] | None = None, shards: int = 1, replicas: int = 1) -> dict:
     """Settings and mapping of a new index: dynamic, with five fixed properties and any given ones."""
+    # Property names, types and settings that indices of this kind have.
     fixed = {"timestamp": {"type": "date"}, "operation": {"type": "keyword"}, "table": {"type": "keyword"}, "primary_key": {"type": "keyword"}, "data": {"type": "object", "dynamic": True}}
     return {"settings": {"number_of_shards": shards, "number_of_replicas": replicas, "refresh_interval": "5s"}, "mappings": {"dynamic": True, "properties": fixed | (fields or {})}}

@@ -50,3 +50,19 @@ def from_change_stream(stream: DataFrame, collections: list[str] | None = None)
 def from_snapshot(table: DataFrame, name: str, keys: list[str], schema_name: str = "", position: str = "", seq: int = 0) -> DataFrame:
     """Rows of a table as inserts at one position, before all events of the log."""
     return table.select(F.lit("INSERT").alias("op"), F.lit("snapshot").alias("source_type"), F.lit(position).alias("position"), F.lit(seq).cast("long").alias("seq"), composite_key(*[F.col(k) for k in keys]).alias("pk"), F.lit(schema_name).alias("schema_name"), F.lit(name).alias("table"), render(table).alias("data")).select(*_ORDER)
+
+
+def log_position(log: DataFrame) -> tuple[str, int]:
+    """(position, seq) of the newest event of a log, ("", 0) for none: taken before a snapshot is read, it is where the stream goes on."""
+    last = log.agg(F.max(F.struct("seq", "position")).alias("last")).first()["last"]
+    return (last["position"], last["seq"]) if last else ("", 0)
+
+
+def snapshot_at(table: DataFrame, name: str, keys: list[str], at: tuple[str, int], schema_name: str = "") -> DataFrame:
+    """A snapshot stamped with the position that was taken before it. Events since then may be in it too; replaying them changes nothing."""
+    return from_snapshot(table, name, keys, schema_name, *at)
+
+
+def resume_after(log: DataFrame, at: tuple[str, int]) -> DataFrame:
+    """The events that a snapshot at ``at`` leaves to the stream; the filter reaches the scan."""
+    return log.filter(F.col("seq") > at[1])

@@ -143,11 +143,23 @@ def sniff_schema(df: DataFrame, json_column: str) -> str:
     return df.select(F.schema_of_variant_agg(F.try_parse_json(json_column)).alias("s")).first()[0]
 
 
+def stream_kafka(spark: SparkSession, servers: str, topic: str, schema: T.StructType = CHANGE_EVENT) -> DataFrame:
+    """Change events as JSON values of a topic; the connector's JAR must be on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return kafka_events(raw, schema)
+
+
+def kafka_events(raw: DataFrame, schema: T.StructType = CHANGE_EVENT) -> DataFrame:
+    """Rows of a topic (value, partition, offset) as change events; one without a position gets its partition and offset."""
+    parsed = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"), F.concat_ws(":", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("at"))
+    return parsed.filter("e is not null").select("e.*", "at").withColumn("position", F.coalesce("position", "at")).drop("at")
+
+
 @dataclass
 class SourceRegistry:
     """Named sources and the jobs that use them; a used source can't be removed."""
 
-    kinds: tuple[str, ...] = ("mysql", "postgresql", "mongodb", "files")
+    kinds: tuple[str, ...] = ("mysql", "postgresql", "mongodb", "files", "kafka")
     sources: dict[str, dict] = field(default_factory=dict)
     jobs: dict[str, set[str]] = field(default_factory=dict)
 
@@ -173,5 +185,5 @@ class SourceRegistry:
         self.jobs.get(name, set()).discard(job)
 
     def problems(self) -> list[str]:
-        need = {"mysql": ("host", "user"), "postgresql": ("host", "user", "database"), "mongodb": ("uri",), "files": ("path",)}
+        need = {"mysql": ("host", "user"), "postgresql": ("host", "user", "database"), "mongodb": ("uri",), "files": ("path",), "kafka": ("servers", "topic")}
         return [f"{n}: no {k}" for n, s in self.sources.items() for k in need[s["type"]] if not s.get(k)]
