@@ -2,53 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver did.
-
-    On a cluster the package is installed or sent with ``--py-files``, as ever.
-    """
-    here, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if here not in known:
-        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, known)])
+from tidemark.session import settle, shared_folder, ship
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session on one machine (a test, a laptop) without that setting gets a
-    folder of its own; on a cluster its absence is an error, as no machine could
-    read what another wrote.
-    """
-    ship(spark)
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError(f"spark.checkpoint.dir names no folder that driver and executors of {context.master} share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder.
-
-    Later stages read the files, so a lost executor costs a reread and never a
-    recomputation of what lies before.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The shared folder of a session, whose workers find the package."""
+    return shared_folder(ship(spark))
 
 
 #: Rows of a settled side that a join may broadcast.
