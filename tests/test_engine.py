@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.functions import pgtypes
 from tidemark.operators import progress
 from tidemark.sinks.index import FailingStore, IndexStore, bulk_requests, create_mapping
 from tidemark.sinks.letters import LetterStore
-from tidemark.sources import catalogs, pgoutput
+from tidemark.sources import binlog, catalogs, pgoutput
 from tidemark.sources.readers import FrameSource, SourceRegistry, stream_change_log
 from tidemark.streaming.jobs import JobManager, SyncJob, commit_log
 
@@ -86,6 +87,9 @@ def test_streaming_resume_dead_letters_and_retry(spark, tmp_path):
     drop("3.json", [("DELETE", 5, "c")])
     manager.start("j", stream_change_log(spark, str(log)), once=True).awaitTermination()
     assert {r["pk"] for r in again.store.read().collect()} == {"a", "good"}
+    assert manager.health().first()["healthy"]
+    with pytest.raises(NotImplementedError):
+        again.store.put_template("t")
     again.enabled = False
     with pytest.raises(ValueError):
         manager.start("j", stream_change_log(spark, str(log)))
@@ -463,3 +467,31 @@ def test_registry():
     r.unregister("a")
     with pytest.raises(ValueError):
         r.register("b", "oracle")
+
+
+def test_binlog_rows(spark):
+    columns = [("id", binlog.LONGLONG, b""), ("u", binlog.TINY, b""), ("s", binlog.VARCHAR, (1000).to_bytes(2, "little")), ("c", binlog.STRING, bytes([binlog.STRING, 20])), ("e", binlog.STRING, bytes([binlog.ENUM, 1])), ("d", binlog.NEWDECIMAL, bytes([14, 4])), ("x", binlog.DOUBLE, b"\x08"), ("day", binlog.DATE, b""), ("at", binlog.DATETIME2, b"\x03"), ("stamp", binlog.TIMESTAMP2, b"\x00"), ("t", binlog.TIME2, b"\x00"), ("y", binlog.YEAR, b""), ("b", binlog.BLOB, b"\x02"), ("f", binlog.BIT, bytes([1, 1])), ("m", binlog.INT24, b"")]
+    clock = ((2024 * 13 + 2) << 5 | 29) << 17 | 10 << 12 | 11 << 6 | 12
+    row = [(-5).to_bytes(8, "little", signed=True), b"\xff", (3).to_bytes(2, "little") + "hé".encode(), b"\x02ab", b"\x02", binlog.encode_decimal("-1234567.0089", 14, 4), struct.pack("<d", 2.5), (2024 << 9 | 2 << 5 | 29).to_bytes(3, "little"), (clock + 0x8000000000).to_bytes(5, "big") + (1250).to_bytes(2, "big"), (1700000000).to_bytes(4, "big"), (0x800000 - (1 << 12 | 2 << 6 | 3)).to_bytes(3, "big"), bytes([124]), (2).to_bytes(2, "little") + b"\xff\x00", b"\x01\x03", (-2).to_bytes(3, "little", signed=True)]
+    want = {"id": -5, "u": 255, "s": "hé", "c": "ab", "e": 2, "d": "-1234567.0089", "x": 2.5, "day": "2024-02-29", "at": "2024-02-29 10:11:12.125", "stamp": "1700000000", "t": "-01:02:03", "y": 2024, "b": "/wA=", "f": 259, "m": -2}
+    decoder = binlog.Decoder(checksum=False)
+    assert decoder.decode(binlog.encode_event(binlog.ROTATE, (4).to_bytes(8, "little") + b"binlog.000009")) == [{"kind": "ROTATE", "file": "binlog.000009", "pos": 4}]
+    assert decoder.decode(binlog.encode_table_map(77, "shop", "things", columns, [0], [1])) == []
+    (found,) = decoder.decode(binlog.encode_rows("INSERT", 77, len(columns), [row], 500))
+    assert json.loads(found["data"]) == want and (found["op"], found["pk"], found["file"], found["pos"], found["table"]) == ("INSERT", "-5", "binlog.000009", 500, "things")
+    new = [*row[:2], None, *row[3:]]
+    two = decoder.decode(binlog.encode_rows("UPDATE", 77, len(columns), [row, new, new, row], 600))
+    assert [json.loads(x["data"])["s"] for x in two] == [None, "hé"] and json.loads(two[0]["old_data"]) == want
+    assert decoder.decode(binlog.encode_rows("DELETE", 77, len(columns), [row], 700))[0]["op"] == "DELETE"
+    assert decoder.decode(binlog.encode_event(binlog.XID, bytes(8), 800)) == [{"kind": "COMMIT", "file": "binlog.000009", "pos": 800}]
+    assert decoder.decode(binlog.encode_event(2, b"BEGIN")) == []
+    frames = [binlog.encode_rows("INSERT", 1, 1, [[b"\x01"]], 1), b"short", binlog.encode_table_map(1, "s", "t", [("a", binlog.TINY, b"")]), binlog.encode_rows("INSERT", 1, 1, [[b"\x01"], [b"\x02"]], 9)]
+    rows = binlog.decode_events(spark.createDataFrame([("m", k, bytearray(f)) for k, f in enumerate(frames)], "server string, seq long, frame binary"), checksum=False).orderBy("seq", "data").collect()
+    assert [(r["seq"], r["kind"], r["data"]) for r in rows] == [(0, "ERROR", "rows of an unknown table"), (1, "ERROR", "event ends early"), (3, "INSERT", '{"a":1}'), (3, "INSERT", '{"a":2}')]
+
+
+@pytest.mark.parametrize("value", ["0", "-0.5", "1", "123456789", "1234567890.123456789", "-99999999999999999999.0000000001"])
+def test_binlog_decimals(value):
+    from decimal import Decimal
+
+    assert Decimal(binlog._decimal(binlog._Bytes(binlog.encode_decimal(value, 32, 10)), 32, 10)) == Decimal(value)

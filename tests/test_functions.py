@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from plain_bson import convert
 from tidemark.functions import bson, datetimes, documents, inference, masks, pgtypes, positions
 
 
@@ -123,8 +125,53 @@ def test_documents(spark):
         ({"a": [{"$numberLong": "9007199254740993"}]}, {"a": [9007199254740993]}),
     ],
 )
-def test_bson(value, want):
-    assert bson.convert(value) == want
+def test_bson(spark, value, want):
+    assert convert(value) == want
+    assert json.loads(one(spark, bson.normalise, json.dumps({"v": value}))) == {"v": want}
+    assert json.loads(one(spark, bson.normalise, json.dumps([value, 1, [value]]))) == [want, 1, [want]]
+
+
+def test_bson_against_the_plain_reading(spark):
+    rng = random.Random(17)
+    texts = ["a", "", 'quote " and \\\\ slash', '{"$oid":"x"}', "é 日本 \n\t", '","$type":"0', "{", "}]", "$1 \\\\1"]
+    leaf = [
+        lambda: {"$oid": rng.choice(["ab", "0" * 24])},
+        lambda: {"$date": {"$numberLong": str(rng.randint(-(10**12), 2 * 10**12))}},
+        lambda: {"$date": rng.choice(["2024-02-29T23:59:59.999Z", "2001-01-01T00:00:00+05:30", "2024-01-02T03:04:05.120Z", "never"])},
+        lambda: {"$date": rng.randint(0, 10**12)},
+        lambda: {"$timestamp": {"t": rng.randint(0, 99), "i": 3}},
+        lambda: {"$binary": {"base64": "AQI=", "subType": rng.choice(["0", "04", "f"])}},
+        lambda: {"$binary": "AQI=", "$type": "02"},
+        lambda: {"$numberDecimal": rng.choice(["1.10", "NaN", "1E+400"])},
+        lambda: {"$numberInt": str(rng.randint(-9, 9))},
+        lambda: {"$numberLong": str(rng.randint(-(2**63), 2**63 - 1))},
+        lambda: {"$numberDouble": rng.choice(["1.5", "-0.25", "NaN", "-Infinity", "3.0"])},
+        lambda: {"$regularExpression": {"pattern": rng.choice(texts), "options": "i"}},
+        lambda: {"$symbol": rng.choice(texts)},
+        lambda: {"$code": rng.choice(texts)},
+        lambda: {"$code": "f()", "$scope": {"x": {"$numberInt": "1"}}},
+        lambda: {"$dbPointer": {"$ref": rng.choice(["c", "d"]), "$id": {"$oid": "ab"}}},
+        lambda: {"$minKey": 1},
+        lambda: {"$maxKey": 1},
+        lambda: {"$undefined": True},
+        lambda: rng.choice(texts),
+        lambda: rng.choice([None, True, False, 0, -1, 1.5, 2**40]),
+    ]
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.5:
+            return rng.choice(leaf)()
+        if kind < 0.8:
+            return {rng.choice(["a", "b", "c d", "é", "$x", 'k"']): value(depth - 1) for _ in range(rng.randint(0, 4))}
+        return [value(depth - 1) for _ in range(rng.randint(0, 4))]
+
+    docs = [{"_id": k, "v": value(4)} for k in range(400)]
+    df = spark.createDataFrame([(k, json.dumps(d, ensure_ascii=k % 2 == 0)) for k, d in enumerate(docs)], "k long, t string")
+    got = {r["k"]: json.loads(r["x"]) for r in df.select("k", bson.normalise(F.col("t")).alias("x")).collect()}
+    for k, d in enumerate(docs):
+        assert got[k] == convert(d), (d, got[k])
+    assert one(spark, bson.normalise, "{no json") is None and one(spark, bson.normalise, None) is None
 
 
 def test_bson_primary_key(spark):

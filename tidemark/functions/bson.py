@@ -1,97 +1,62 @@
-"""MongoDB values: extended JSON to plain documents."""
+"""MongoDB values: extended JSON to plain documents.
 
-from __future__ import annotations
+Everything is done on the canonical text of a document (VARIANT's: keys sorted, no
+space between tokens). There a wrapper object is a fixed pattern, and no string can
+hold one, as quotes inside a string are escaped: ``{"$oid":"`` never is.
+"""
 
-import base64
-import json
-from datetime import UTC, datetime
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def _instant(value) -> str:
-    """Milliseconds or RFC 3339 text to RFC 3339 in UTC, trailing zeros trimmed."""
-    if isinstance(value, dict):
-        value = int(value.get("$numberLong", 0))
-    if isinstance(value, int | float):
-        at = datetime.fromtimestamp(0, UTC).timestamp() + value / 1000
-        whole = datetime.fromtimestamp(int(at // 1), UTC)
-        millis = int(value) % 1000
-        return whole.strftime("%Y-%m-%dT%H:%M:%S") + (f".{millis:03d}".rstrip("0") if millis else "") + "Z"
-    try:
-        at = datetime.fromisoformat(str(value).replace("Z", "+00:00")).astimezone(UTC)
-    except ValueError:
-        return str(value)
-    return at.strftime("%Y-%m-%dT%H:%M:%S") + (f".{at.microsecond:06d}".rstrip("0") if at.microsecond else "") + "Z"
-
-
-def _binary(value: dict) -> dict:
-    body = value.get("$binary", {})
-    body = body if isinstance(body, dict) else {"base64": body, "subType": value.get("$type", "00")}
-    kind = int(str(body.get("subType", "00")), 16)
-    return {"$binary": {"base64": body.get("base64", ""), "subType": f"{kind:02x}"}}
-
 
-def _regex(value: dict) -> dict:
-    body = value.get("$regularExpression", {})
-    return {"$regex": body.get("pattern", value.get("$regex", "")), "$options": body.get("options", value.get("$options", ""))}
-
-
-#: One reading for each wrapper key of extended JSON.
-_WRAPPERS = {
-    "$oid": lambda v: v["$oid"],
-    "$date": lambda v: _instant(v["$date"]),
-    "$timestamp": lambda v: {"t": v["$timestamp"].get("t"), "i": v["$timestamp"].get("i")},
-    "$binary": _binary,
-    "$numberDecimal": lambda v: v["$numberDecimal"],
-    "$numberInt": lambda v: int(v["$numberInt"]),
-    "$numberLong": lambda v: int(v["$numberLong"]),
-    "$numberDouble": lambda v: float(v["$numberDouble"]) if v["$numberDouble"] not in ("NaN", "Infinity", "-Infinity") else v["$numberDouble"],
-    "$regularExpression": _regex,
-    "$regex": _regex,
-    "$symbol": lambda v: v["$symbol"],
-    "$dbPointer": lambda v: {"$ref": v["$dbPointer"].get("$ref"), "$id": convert(v["$dbPointer"].get("$id"))},
-    "$minKey": lambda v: {"$minKey": 1},
-    "$maxKey": lambda v: {"$maxKey": 1},
-    "$undefined": lambda v: None,
-}
-
-
-def convert(value):
-    """A parsed extended-JSON value as a plain one, to any depth."""
-    if isinstance(value, dict):
-        if "$code" in value:
-            return {"$code": value["$code"], "$scope": convert(value["$scope"])} if "$scope" in value else value["$code"]
-        for key, read in _WRAPPERS.items():
-            if key in value:
-                return read(value)
-        return {k: convert(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [convert(v) for v in value]
-    if isinstance(value, bytes):
-        return base64.b64encode(value).decode()
-    return value
+_TEXT = r'"((?:[^"\\\\]|\\\\.)*)"'.replace("\\\\", "\\")
+_NUMBER = r'"(-?(?:0|[1-9]\d*))"'
+_FLOAT = r'"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)"'
+
+#: Each wrapper, innermost first, and what stays of it.
+_WRAPPERS = [
+    (r'\{"\$oid":' + _TEXT + r"\}", '"$1"'),
+    (r'\{"\$symbol":' + _TEXT + r"\}", '"$1"'),
+    (r'\{"\$numberDecimal":' + _TEXT + r"\}", '"$1"'),
+    (r'\{"\$number(?:Int|Long)":' + _NUMBER + r"\}", "$1"),
+    (r'\{"\$numberDouble":' + _FLOAT + r"\}", "$1"),
+    (r'\{"\$numberDouble":"(NaN|-?Infinity)"\}', '"$1"'),
+    (r'\{"\$undefined":true\}', "null"),
+    (r'\{"\$(min|max)Key":[^{}\[\]]*?\}', r'{"\$$1Key":1}'),
+    (r'\{"\$timestamp":\{"i":(-?\d+),"t":(-?\d+)\}\}', r'{"i":$1,"t":$2}'),
+    # a subtype has two hexadecimal digits; the older form names it beside the data
+    (r'\{"\$binary":' + _TEXT + r',"\$type":"([0-9a-fA-F]{1,2})"\}', r'{"\$binary":{"base64":"$1","subType":"$2"}}'),
+    (r'\{"\$binary":' + _TEXT + r"\}", r'{"\$binary":{"base64":"$1","subType":"00"}}'),
+    (r'\{"\$binary":\{"base64":' + _TEXT + r',"subType":"([0-9a-fA-F])"\}\}', r'{"\$binary":{"base64":"$1","subType":"0$2"}}'),
+    (r'\{"\$regularExpression":\{"options":' + _TEXT + r',"pattern":' + _TEXT + r"\}\}", r'{"\$options":"$1","\$regex":"$2"}'),
+    (r'\{"\$regularExpression":\{"pattern":' + _TEXT + r"\}\}", r'{"\$options":"","\$regex":"$1"}'),
+    (r'\{"\$regex":' + _TEXT + r"\}", r'{"\$options":"","\$regex":"$1"}'),
+    (r'\{"\$dbPointer":\{"\$id":([^{}]*?|\{[^{}]*\}),"\$ref":' + _TEXT + r"\}\}", r'{"\$id":$1,"\$ref":"$2"}'),
+    (r'\{"\$code":' + _TEXT + r"\}", '"$1"'),
+]
+_DATE = r'\{"\$date":(?:\{"\$numberLong":"-?\d+"\}|-?\d+|"(?:[^"\\]|\\.)*")\}'
+
+
+def _instant(wrapper: Column) -> Column:
+    """The quoted text that a date wrapper becomes: RFC 3339 in UTC, trailing zeros trimmed; text that is no date stays."""
+    millis = F.regexp_extract(wrapper, r'^\{"\$date":(?:\{"\$numberLong":")?(-?\d+)', 1)
+    text = F.regexp_extract(wrapper, r'^\{"\$date":"(.*)"\}$', 1)
+    at = F.when(millis != "", F.timestamp_millis(millis.try_cast("long"))).otherwise(F.try_to_timestamp(text))
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    shown = F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0{1,6}$", "")
+    trimmed = F.when(F.date_format(utc, "SSSSSS") == "000000", F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(shown)
+    return F.concat(F.lit('"'), F.coalesce(F.concat(trimmed, F.lit("Z")), text), F.lit('"'))
 
 
 def normalise(data: Column) -> Column:
-    """Extended JSON text to plain JSON text; text that isn't JSON gives null."""
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            try:
-                return json.dumps(convert(json.loads(text)), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
-            except (ValueError, AttributeError, TypeError):
-                return None
-
-        return texts.map(one)
-
-    return run(data)
+    """Extended JSON text to plain JSON text with sorted keys; text that isn't JSON gives null."""
+    text = F.to_json(F.try_parse_json(data))
+    dates = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), _instant), F.array(F.lit("")))
+    text = F.array_join(F.zip_with(F.split(text, _DATE), dates, lambda a, b: F.concat(a, b)), "")
+    for pattern, kept in _WRAPPERS:
+        text = F.regexp_replace(text, pattern, kept)
+    return text
 
 
 def primary_key(data: Column) -> Column:

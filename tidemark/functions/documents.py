@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,30 +66,21 @@ def flatten_columns(schema: T.StructType, prefix: str = "", depth: int = 3) -> l
     return walk(schema, "", prefix, depth)
 
 
-def _flatten(value: dict, prefix: str, left: int, out: dict) -> dict:
-    for k, v in value.items():
-        label = f"{prefix}.{k}" if prefix else k
-        if isinstance(v, dict) and left > 0 and label != "_id":
-            _flatten(v, label, left - 1, out)
-        else:
-            out[label] = v
-    return out
-
-
 def flatten_json(data: Column, prefix: str = "", depth: int = 3) -> Column:
-    """``flatten_columns`` for JSON text of any shape; no object gives null."""
-
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            try:
-                value = json.loads(text)
-            except ValueError:
-                return None
-            return json.dumps(_flatten(value, prefix, depth, {}), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
-
-        return texts.map(one)
-
-    return run(data)
+    """``flatten_columns`` for JSON text of any shape; no object gives null. Of fields that get one name the last stays, and empty objects go."""
+    as_map = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
+    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    named = f"{prefix}." if prefix else ""
+
+    def deeper(e: Column) -> Column:
+        inner = F.transform(F.map_entries(as_map(e["value"])), lambda x: pair(F.concat(e["key"], F.lit("."), x["key"]), x["value"]))
+        return F.when(as_map(e["value"]).isNotNull() & (e["key"] != "_id"), inner).otherwise(F.array(pair(e["key"], e["value"])))
+
+    root = as_map(F.try_parse_json(data))
+    fields = F.transform(F.map_entries(root), lambda x: pair(F.concat(F.lit(named), x["key"]), x["value"]))
+    for _ in range(depth):
+        fields = F.flatten(F.transform(fields, deeper))
+    keys = lambda some: F.reverse(F.transform(some, lambda x: x["key"]))
+    # one-element arrays bind the fields once
+    last = F.transform(F.array(fields), lambda some: F.filter(some, lambda x, k: F.array_position(keys(some), x["key"]) == F.size(some) - k))[0]
+    return F.when(root.isNotNull(), F.to_json(F.map_from_entries(last), {"ignoreNullFields": "false"}))

@@ -13,7 +13,7 @@ from tidemark.operators import chunks, dead_letters, progress, relational, upser
 from tidemark.plans.rules import RuleSet, apply_rules
 from tidemark.session import shared_folder, ship
 from tidemark.sinks.index import FailingStore, IndexStore, bulk_lines
-from tidemark.sources import catalogs
+from tidemark.sources import binlog, catalogs
 from tidemark.sources import events as source_events
 from tidemark.sources import pgoutput, readers
 from tidemark.streaming import windows
@@ -969,3 +969,34 @@ def pg_all_types(spark, sf_dir):
     # the document's field without the name that JSON needs around it
     value = lambda k, t: F.regexp_extract(F.to_json(F.struct(types.convert(t, F.col(f"t{k}")).alias("v")), {"ignoreNullFields": "false"}), r"(?s)^\{\"v\":(.*)\}$", 1)
     return rows.select("n_nationkey", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), value(k, t).alias("value")) for k, (t, _, _) in enumerate(_LITERALS)])).alias("x")).select("n_nationkey", "x.*")
+
+
+@query("SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'DELETE' WHEN o_orderstatus = 'O' THEN 'UPDATE' ELSE 'INSERT' END AS op, o_orderkey::VARCHAR AS pk, concat('binlog.000007:', o_orderkey::VARCHAR) AS position, o_custkey AS cust, CASE WHEN o_orderstatus = 'O' THEN 'new' ELSE o_orderstatus END AS status FROM orders")
+def binlog_decode(spark, sf_dir):
+    """Orders written as binary-log events, by eight servers, and read again."""
+    columns = [("id", binlog.LONGLONG, b""), ("cust", binlog.LONG, b""), ("status", binlog.VARCHAR, b"\x10\x00")]
+    ops = {"F": "DELETE", "O": "UPDATE"}
+
+    @F.pandas_udf("binary")
+    def encoded(key, cust, status):
+        import pandas as pd
+
+        out = []
+        for k, c, s in zip(key, cust, status):
+            image = lambda text: [int(k).to_bytes(8, "little"), int(c).to_bytes(4, "little"), bytes([len(text)]) + text.encode()]  # noqa: B023, E731
+            op = ops.get(s, "INSERT")
+            out.append(binlog.encode_rows(op, 7, 3, [image(s), image("new")] if op == "UPDATE" else [image(s)], int(k)))
+        return pd.Series(out)
+
+    o = _t(spark, sf_dir, "orders")
+    server = F.concat(F.lit("db"), (F.col("o_orderkey") % 8).cast("string"))
+    heads = [(f"db{k}", -n, bytearray(e)) for k in range(8) for n, e in ((1, binlog.encode_table_map(7, "shop", "orders", columns, [0])), (2, binlog.encode_event(binlog.ROTATE, (4).to_bytes(8, "little") + b"binlog.000007")))]
+    frames = spark.createDataFrame(heads, "server string, seq long, frame binary").unionByName(o.select(server.alias("server"), F.col("o_orderkey").alias("seq"), encoded("o_orderkey", "o_custkey", "o_orderstatus").alias("frame")))
+    events = binlog.change_events(binlog.decode_events(frames, checksum=False))
+    return events.select("seq", "op", "pk", "position", F.get_json_object("data", "$.cust").cast("long").alias("cust"), F.get_json_object("data", "$.status").alias("status"))
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H') AS batch_start, (k - 1) // 20 AS part, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY time_bucket(INTERVAL 6 HOUR, ts) ORDER BY event_id) AS k FROM events) GROUP BY 1, 2")
+def size_or_time_batches(spark, sf_dir):
+    batches = windows.size_or_time_batches(_t(spark, sf_dir, "events"), "ts", "event_id", 20, 21600)
+    return batches.groupBy(F.date_format("batch_start", "yyyy-MM-dd HH").alias("batch_start"), "part").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))

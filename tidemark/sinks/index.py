@@ -84,6 +84,12 @@ class IndexStore:
     def mapping(self, name: str) -> dict:
         return json.loads(self.spark.read.text(f"{self.parts.root}/_mappings/{name}.json").first()[0])
 
+    def put_template(self, name: str) -> None:
+        """Templates and life cycles belong to a search service; Parquet indices have none."""
+        raise NotImplementedError("index templates")
+
+    setup_lifecycle = put_template
+
     def describe(self) -> DataFrame:
         """(index, n_docs) of indices that hold live documents."""
         return self.read().groupBy("index").agg(F.count("*").alias("n_docs"))

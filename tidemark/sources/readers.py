@@ -21,9 +21,10 @@ def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = No
     return df.select(*columns) if columns else df
 
 
-def read_jdbc_chunks(spark: SparkSession, url: str, table: str, key: str, ranges: list[tuple[int, int]], properties: dict | None = None) -> DataFrame:
-    """One task a half-open key range. The driver's JAR must be on the class path."""
-    return spark.read.jdbc(url, table, predicates=[f"{key} >= {a} AND {key} < {b}" for a, b in ranges], properties=properties or {})
+def read_jdbc_chunks(spark: SparkSession, url: str, table: str, key: str, ranges: list[tuple[int, int]], properties: dict | None = None, connections: int = 10) -> DataFrame:
+    """One read a half-open key range, over at most ``connections`` connections at a time. The driver's JAR must be on the class path."""
+    chunks = spark.read.jdbc(url, table, predicates=[f"{key} >= {a} AND {key} < {b}" for a, b in ranges], properties=properties or {})
+    return chunks.coalesce(connections) if len(ranges) > connections else chunks
 
 
 def read_change_log(spark: SparkSession, path: str, schema: T.StructType = CHANGE_EVENT, format: str = "json") -> DataFrame:

@@ -150,6 +150,11 @@ class JobManager:
         rows = [(j.job_id, j.status(), j.enabled) for j in self.jobs.values()]
         return self.spark.createDataFrame(rows, "job_id string, status string, enabled boolean")
 
+    def health(self) -> DataFrame:
+        """(job_id, healthy, reason): a job is well unless its stream ended with an error."""
+        failed = {j.job_id: j.query.exception() for j in self.jobs.values() if j.query is not None}
+        return self.spark.createDataFrame([(k, failed.get(k) is None, str(failed[k])[:500] if failed.get(k) else None) for k in self.jobs], "job_id string, healthy boolean, reason string")
+
     def start(self, job_id: str, events: DataFrame, once: bool = False) -> StreamingQuery:
         job = self.jobs[job_id]
         if not job.enabled:
