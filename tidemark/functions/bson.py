@@ -11,16 +11,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TEXT = r'"((?:[^"\\\\]|\\\\.)*)"'.replace("\\\\", "\\")
-_NUMBER = r'"(-?(?:0|[1-9]\d*))"'
 _FLOAT = r'"(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)"'
 
-#: Each wrapper, innermost first, and what stays of it.
-_WRAPPERS = [
-    (r'\{"\$oid":' + _TEXT + r"\}", '"$1"'),
-    (r'\{"\$symbol":' + _TEXT + r"\}", '"$1"'),
-    (r'\{"\$numberDecimal":' + _TEXT + r"\}", '"$1"'),
-    (r'\{"\$number(?:Int|Long)":' + _NUMBER + r"\}", "$1"),
-    (r'\{"\$numberDouble":' + _FLOAT + r"\}", "$1"),
+_DAY = r"\d{4}-[01]\d-[0-3]\dT[0-2]\d:[0-5]\d:[0-5]\d"
+
+#: Each wrapper and what stays of it, innermost first: those of most documents,
+_COMMON = [
+    (r'\{"\$(?:oid|symbol|numberDecimal)":' + _TEXT + r"\}", '"$1"'),
+    (r'\{"\$number(?:Int|Long|Double)":' + _FLOAT + r"\}", "$1"),
+    # dates in UTC, trailing zeros trimmed
+    (r'\{"\$date":("' + _DAY + r')(?:\.0{1,6})?(Z")\}', "$1$2"),
+    (r'\{"\$date":("' + _DAY + r'\.\d{0,5}[1-9])0{0,5}(Z")\}', "$1$2"),
+]
+#: and the others.
+_RARE = [
     (r'\{"\$numberDouble":"(NaN|-?Infinity)"\}', '"$1"'),
     (r'\{"\$undefined":true\}', "null"),
     (r'\{"\$(min|max)Key":[^{}\[\]]*?\}', r'{"\$$1Key":1}'),
@@ -51,12 +55,18 @@ def _instant(wrapper: Column) -> Column:
 
 def normalise(data: Column) -> Column:
     """Extended JSON text to plain JSON text with sorted keys; text that isn't JSON gives null."""
-    text = F.to_json(F.try_parse_json(data))
-    dates = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), _instant), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(F.split(text, _DATE), dates, lambda a, b: F.concat(a, b)), "")
-    for pattern, kept in _WRAPPERS:
-        text = F.regexp_replace(text, pattern, kept)
-    return text
+    def replaced(text: Column, wrappers: list[tuple[str, str]]) -> Column:
+        for pattern, kept in wrappers:
+            text = F.regexp_replace(text, pattern, kept)
+        return text
+
+    def rest(text: Column) -> Column:
+        dates = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_DATE), F.lit(0)), _instant), F.array(F.lit("")))
+        dated = F.when(text.contains('{"$date":'), F.array_join(F.zip_with(F.split(text, _DATE), dates, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+        return F.when(text.contains('{"$'), replaced(dated, _RARE)).otherwise(text)
+
+    # a one-element array binds the text, and few documents hold more than the common wrappers
+    return F.transform(F.array(replaced(F.to_json(F.try_parse_json(data)), _COMMON)), rest)[0]
 
 
 def primary_key(data: Column) -> Column:

@@ -74,13 +74,19 @@ def flatten_json(data: Column, prefix: str = "", depth: int = 3) -> Column:
 
     def deeper(e: Column) -> Column:
         inner = F.transform(F.map_entries(as_map(e["value"])), lambda x: pair(F.concat(e["key"], F.lit("."), x["key"]), x["value"]))
-        return F.when(as_map(e["value"]).isNotNull() & (e["key"] != "_id"), inner).otherwise(F.array(pair(e["key"], e["value"])))
-
-    root = as_map(F.try_parse_json(data))
-    fields = F.transform(F.map_entries(root), lambda x: pair(F.concat(F.lit(named), x["key"]), x["value"]))
-    for _ in range(depth):
-        fields = F.flatten(F.transform(fields, deeper))
-    keys = lambda some: F.reverse(F.transform(some, lambda x: x["key"]))
-    # one-element arrays bind the fields once
-    last = F.transform(F.array(fields), lambda some: F.filter(some, lambda x, k: F.array_position(keys(some), x["key"]) == F.size(some) - k))[0]
-    return F.when(root.isNotNull(), F.to_json(F.map_from_entries(last), {"ignoreNullFields": "false"}))
+        return F.coalesce(F.when(e["key"] != "_id", inner), F.array(e))
+
+    def last_of_a_name(fields: Column) -> Column:
+        keys = F.transform(fields, lambda x: x["key"])
+        kept = F.filter(fields, lambda x, k: F.array_position(F.slice(keys, k + 2, F.size(fields)), x["key"]) == 0)
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), fields).otherwise(kept)
+
+    def flat(root: Column) -> Column:
+        fields = F.transform(F.map_entries(root), lambda x: pair(F.concat(F.lit(named), x["key"]), x["value"]))
+        for _ in range(depth):
+            fields = F.flatten(F.transform(fields, deeper))
+        return F.transform(F.array(fields), last_of_a_name)[0]
+
+    # one-element arrays bind what is used more than once
+    fields = F.transform(F.array(as_map(F.try_parse_json(data))), flat)[0]
+    return F.to_json(F.map_from_entries(fields), {"ignoreNullFields": "false"})
