@@ -63,7 +63,7 @@ def test_fingerprints(texts, block):
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=120), st.lists(st.integers(1, 4), min_size=1, max_size=4), st.integers(1, 9))
 def test_backward_search_counts_and_locates(text, phrase, every):
     index = decontaminate.FMIndex(np.array(text), 4, every)
-    lo, hi = index.search(np.array([phrase]), np.array([len(phrase)]))
+    lo, hi = index.search(np.array(phrase), np.array([0]), np.array([len(phrase)]))
     want = [k for k in range(len(text) - len(phrase) + 1) if text[k : k + len(phrase)] == phrase]
     assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
 
