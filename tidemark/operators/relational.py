@@ -68,7 +68,7 @@ def started_and_finished(before: DataFrame, after: DataFrame, key: str) -> tuple
 
 
 def ordered_values(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Each group's values as an array in the given order."""
+    """Each group's values as an array in the given order, ties in order of the values."""
     return df.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"]).alias("items"))
 
 

@@ -245,7 +245,7 @@ def status_histogram(spark, sf_dir):
     return progress.histogram(_t(spark, sf_dir, "orders"), "o_orderstatus")
 
 
-@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_shipdate, l_linenumber) AS parts FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_shipdate, l_linenumber, l_partkey) AS parts FROM lineitem GROUP BY 1")
 def ordered_array_agg(spark, sf_dir):
     return relational.ordered_values(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_shipdate", "l_linenumber"], "l_partkey").select("l_orderkey", F.array_join("items", ",").alias("parts"))
 
