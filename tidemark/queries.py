@@ -283,8 +283,10 @@ _LSN = "upper(format('{:x}/{:x}', event_id // 7, event_id * 4099))"
 
 
 def _lsn(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    return e.select("event_id", F.concat(F.hex(F.floor(F.col("event_id") / 7).cast("long")), F.lit("/"), F.hex(F.col("event_id") * 4099)).alias("lsn"))
+    # the low half carries into the high one, as 1 to 8 hex digits a side are all that a position has
+    e = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 4099).alias("n"))
+    high = F.expr("event_id div 7 + n div 4294967296")
+    return e.select("event_id", F.concat(F.hex(high), F.lit("/"), F.hex(F.col("n") % 4294967296)).alias("lsn"))
 
 
 @query("SELECT event_id, (event_id // 7) * 4294967296 + event_id * 4099 AS n FROM events")
