@@ -6,7 +6,7 @@ import pytest
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 
-@pytest.mark.parametrize("name", ["lsn_compare", "lsn_to_int", "lsn_advance"])
+@pytest.mark.parametrize("name", ["lsn_compare", "lsn_to_int", "lsn_advance", "lsn_lag"])
 def test_positions_of_large_keys(spark, tmp_path, name):
     spark.range(0, 6_000_000, 100_003).unionByName(spark.range(1_047_800, 1_047_820)).withColumnRenamed("id", "event_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     con = duckdb.connect()
