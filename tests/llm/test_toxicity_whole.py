@@ -57,6 +57,14 @@ def test_each_labelled_document_once_and_shards_whole(spark, some, monkeypatch):
     shards = {r["shard"] for r in placed}
     assert len(shards) > 2 and len(placed) == len(shards) == len({r["p"] for r in placed})
     assert 0.15 < rows.filter("held").count() / 480 < 0.35
+    # a session that raises the partitions gets no more files, and shards that are whole
+    raised = lambda self, n, *cols, f=type(some[0]).repartition: f(self, max(n, 23) if isinstance(n, int) else n, *cols)
+    monkeypatch.setattr(type(some[0]), "repartition", raised)
+    more = dealt(spark, *some)
+    assert more.rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    placed = more.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(placed) == len(shards)
+    assert sorted(map(tuple, more.collect())) == sorted(map(tuple, rows.collect()))
 
 
 def test_a_model_is_the_same_from_any_partitions(some):

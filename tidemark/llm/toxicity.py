@@ -396,7 +396,7 @@ def _deals(spark: SparkSession, shards: int) -> list[int]:
 def _dealt(docs: DataFrame, labels: DataFrame, allowed: Column | None, id_column: str, text: str, lang: str, label: str) -> DataFrame:
     """Settled (shard, held, y, lang, text): each labelled document once, its shard whole in one partition, by a hash of the id."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
-    known = settle(known if allowed is None else known.filter(allowed))
+    known = known if allowed is None else known.filter(allowed)
     n = known.count()
     deals = _deals(docs.sparkSession, min(MAX_SHARDS, max(1, -(-n * 3 // (4 * SHARD_ROWS)))))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
@@ -404,7 +404,8 @@ def _dealt(docs: DataFrame, labels: DataFrame, allowed: Column | None, id_column
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(len(deals))).cast("int"))
     rows = rows.withColumn("deal", F.array(*map(F.lit, deals))[F.col("shard")].cast("long")).repartition(len(deals), "deal")
     first = F.row_number().over(Window.partitionBy("deal", "h", "id").orderBy("key", "lang"))
-    rows = rows.withColumn("k", first).filter("k = 1").sortWithinPartitions("deal", "h", "id")
+    # a session that deals into more partitions than asked for still gets as many files as shards
+    rows = rows.withColumn("k", first).filter("k = 1").sortWithinPartitions("deal", "h", "id").coalesce(len(deals))
     return settle(rows.select("shard", (F.pmod(F.xxhash64(F.lit("held"), "id"), F.lit(4)) == 0).alias("held"), "y", "lang", "text"))
 
 
